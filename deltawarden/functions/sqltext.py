@@ -28,13 +28,14 @@ SOURCE_NAME = (
     rf"(?:{WS}*,{WS}*['\"`]([\w.-]+)['\"`])?{WS}*\)?{WS}*\}}\}}?"
 )
 MODEL_REF = rf"\{{\{{{WS}*ref{WS}*\({WS}*['\"]([\w.-]+)['\"]{WS}*\){WS}*\}}\}}"
-SELECT_LIST = rf"(?i){START}select{END}([\s\S]*?){START}from{END}"
-ALIAS = rf"(?i){START}as{WS}+({K.QUOTED_NAME}){WS}*\z"
+# Word edges are tested after the literal, so that most characters fail on the first comparison.
+SELECT_LIST = rf"(?i)select(?<!\wselect){END}([\s\S]*?)from(?<!\wfrom){END}"
+ALIAS = rf"(?i)as(?<!\was){WS}+[`\"\[]?([\w$]+)[`\"\]]?{WS}*\z"
 BARE_NAME = rf"(?:\A|\.)[ `\"\[]?([\w$]+)[`\"\]]?{WS}*\z"
 CAST_TYPE = rf"(?i){START}cast{WS}*\([^)]*{START}as{WS}+([\w() ,]+)"
 WHERE_CLAUSE = (
-    rf"(?i){START}where{END}([\s\S]*?)"
-    rf"(?={START}group{WS}+by{END}|{START}order{WS}+by{END}|{START}having{END}|{START}limit{END}|\z)"
+    rf"(?i)where(?<!\wwhere){END}([\s\S]*?)"
+    rf"(?={START}(?:group{WS}+by|order{WS}+by|having|limit){END}|\z)"
 )
 
 
@@ -46,11 +47,24 @@ def trim_spaces(value: Column) -> Column:
     return F.regexp_replace(value, rf"\A{WS}+|{WS}+\z", "")
 
 
+def without_comments(sql: Column, filler: str) -> Column:
+    """Line comments, then block comments replaced.
+
+    Texts without the marks skip the pattern. Each test reads the raw text, never an
+    intermediate one, so no step is computed twice.
+    """
+    line = F.when(sql.contains("--"), F.regexp_replace(sql, K.LINE_COMMENT, filler)).otherwise(sql)
+    return F.when(sql.contains("/*"), F.regexp_replace(line, K.BLOCK_COMMENT, filler)).otherwise(line)
+
+
 def normalize_sql(sql: Column) -> Column:
     """Comments gone, white space collapsed, trimmed, lower case (literals included)."""
-    text = F.regexp_replace(sql, K.LINE_COMMENT, "")
-    text = F.regexp_replace(text, K.BLOCK_COMMENT, "")
-    return F.lower(F.trim(F.regexp_replace(text, rf"{WS}+", " ")))
+    text = without_comments(sql, "")
+    # Pure ASCII text takes the cheaper white-space pattern.
+    collapsed = F.when(
+        F.octet_length(sql) == F.char_length(sql), F.regexp_replace(text, r"\s+", " ")
+    ).otherwise(F.regexp_replace(text, rf"{WS}+", " "))
+    return F.lower(F.trim(collapsed))
 
 
 def strip_quotes(value: Column) -> Column:
@@ -112,17 +126,20 @@ def split_select_list(lists: pd.Series) -> pd.Series:
 def output_name(expression: Column) -> Column:
     """Trailing alias, else a bare or qualified name, else NULL."""
     return F.coalesce(
-        none_if_empty(clean_identifier(F.regexp_extract(expression, ALIAS, 1))),
-        none_if_empty(clean_identifier(F.regexp_extract(expression, BARE_NAME, 1))),
+        none_if_empty(F.regexp_extract(expression, ALIAS, 1)),
+        none_if_empty(F.regexp_extract(expression, BARE_NAME, 1)),
     )
 
 
-def source_columns(expression: Column) -> Column:
+def source_columns(expression: Column, name: Column | None = None) -> Column:
     """Identifiers in order, without literals, key words and the expression's own output name."""
-    scrubbed = F.regexp_replace(expression, K.STRING_LITERAL, " ")
+    if name is None:
+        name = output_name(expression)
+    scrubbed = F.when(expression.contains("'"), F.regexp_replace(expression, K.STRING_LITERAL, " ")).otherwise(
+        expression)
     tokens = F.regexp_extract_all(scrubbed, F.lit(K.IDENTIFIER), F.lit(0))
     columns = F.array_distinct(F.filter(tokens, lambda t: ~F.lower(t).isin(*K.SQL_KEYWORDS)))
-    own = F.coalesce(F.lower(output_name(expression)), F.lit(""))
+    own = F.coalesce(F.lower(name), F.lit(""))
     return F.filter(columns, lambda c: c != own)
 
 
@@ -137,8 +154,7 @@ def where_clause(sql: Column) -> Column:
 
 def sql_identifiers(sql: Column) -> Column:
     """Distinct lower-case identifiers outside comments and string literals."""
-    text = F.regexp_replace(F.coalesce(sql, F.lit("")), K.LINE_COMMENT, " ")
-    text = F.regexp_replace(text, K.BLOCK_COMMENT, " ")
+    text = without_comments(F.coalesce(sql, F.lit("")), " ")
     text = F.regexp_replace(text, K.STRING_LITERAL, " ")
     tokens = F.regexp_extract_all(text, F.lit(K.IDENTIFIER), F.lit(0))
     return F.array_distinct(F.transform(tokens, lambda t: F.lower(t)))

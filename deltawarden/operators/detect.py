@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from deltawarden.functions import sqltext as S
+from deltawarden.session import settle
 
 FILE_KEYS = ("analysis_id", "path", "file_status")
 CHANGE_FIELDS = (
@@ -44,11 +45,16 @@ def _ddl_changes(after: Column) -> Column:
 
 def _projection(entries: Column) -> Column:
     """Named select-list entries: name, key, normalised expression, joined source columns, cast target."""
-    named = F.transform(entries, lambda e: F.struct(e.alias("raw"), S.output_name(e).alias("name")))
+    named = F.transform(entries, lambda e: F.struct(
+        e.alias("raw"), S.output_name(e).alias("name"), S.normalize_sql(e).alias("expression")))
     return F.transform(F.filter(named, lambda x: x["name"].isNotNull()), lambda x: F.struct(
-        x["name"].alias("name"), F.lower(x["name"]).alias("key"), S.normalize_sql(x["raw"]).alias("expression"),
-        F.lower(F.array_join(S.source_columns(x["raw"]), ",")).alias("inputs"),
-        S.cast_type(S.normalize_sql(x["raw"])).alias("cast_to")))
+        x["name"].alias("name"), F.lower(x["name"]).alias("key"), x["expression"].alias("expression"),
+        F.lower(F.array_join(S.source_columns(x["raw"], x["name"]), ",")).alias("inputs"),
+        S.cast_type(x["expression"]).alias("cast_to")))
+
+
+def _definitions(side: str) -> Column:
+    return F.transform(F.col(side), lambda p: F.concat(p["key"], F.lit("\n"), p["expression"]))
 
 
 def _last_wins(projection: Column, keys: Column) -> Column:
@@ -78,12 +84,8 @@ def _dropped_or_renamed(dataset: Column) -> Column:
 
 
 def _changed_expressions(dataset: Column) -> Column:
-    def tagged(side: str) -> Column:
-        return F.transform(F.col(side), lambda p: F.concat(p["key"], F.lit("\n"), p["expression"]))
-
-    moved = F.array_except(tagged("new"), tagged("old"))
-    kept = F.filter(F.col("new"), lambda p: F.array_contains(F.col("old_keys"), p["key"])
-                    & F.array_contains(moved, F.concat(p["key"], F.lit("\n"), p["expression"])))
+    kept = F.filter(F.col("new"), lambda p: F.array_contains(F.col("moved"), F.concat(
+        p["key"], F.lit("\n"), p["expression"])) & F.array_contains(F.col("old_keys"), p["key"]))
     paired = F.transform(kept, lambda p: F.struct(
         p["name"].alias("name"), p["cast_to"].alias("to"),
         F.get(F.filter(F.col("old"), lambda q: q["key"] == p["key"]), F.lit(0))["cast_to"].alias("was")))
@@ -118,30 +120,37 @@ def changed_files(revisions: DataFrame) -> DataFrame:
 
 
 def projections(revisions: DataFrame) -> DataFrame:
-    """Both select lists parsed: ``old``/``new`` entries and ``old_keys``/``new_keys``."""
-    parsed = revisions.withColumns({
-        "old_all": _projection(S.split_select_list(S.select_list_text(F.col("before")))),
-        "new_all": _projection(S.split_select_list(S.select_list_text(F.col("after")))),
-    }).withColumns({
+    """Both select lists parsed, where they differ: ``old``/``new`` entries and ``old_keys``/``new_keys``."""
+    lists = settle(revisions, {
+        "old_list": S.select_list_text(F.col("before")), "new_list": S.select_list_text(F.col("after"))})
+    # Equal lists hold no finding, so they are not even split.
+    differ = F.col("old_list") != F.col("new_list")
+    split = settle(lists, {
+        "old_all": _projection(S.split_select_list(F.when(differ, F.col("old_list")))),
+        "new_all": _projection(S.split_select_list(F.when(differ, F.col("new_list")))),
+    }).drop("old_list", "new_list")
+    keyed = settle(split, {
         "old_keys": F.array_distinct(F.transform(F.col("old_all"), lambda p: p["key"])),
         "new_keys": F.array_distinct(F.transform(F.col("new_all"), lambda p: p["key"])),
     })
-    return parsed.withColumns({
+    unique = settle(keyed, {
         "old": _last_wins(F.col("old_all"), F.col("old_keys")),
         "new": _last_wins(F.col("new_all"), F.col("new_keys")),
         "gone_keys": F.array_except(F.col("old_keys"), F.col("new_keys")),
     }).drop("old_all", "new_all")
+    return settle(unique, {"moved": F.array_except(_definitions("new"), _definitions("old"))})
 
 
 def detect_changes(revisions: DataFrame, marker: str = "deltawarden") -> DataFrame:
     """One row per finding over a ``file_revision`` table (``status`` becomes ``file_status``)."""
-    files = changed_files(revisions).select(
-        "analysis_id", "path", F.col("status").alias("file_status"), "before", "after",
-        S.infer_dataset(F.col("path"), F.col("before"), F.col("after"), marker).alias("dataset"),
-        F.array_union(S.source_datasets(F.col("before")), S.source_datasets(F.col("after"))).alias("sources"),
-        S.where_clause(F.col("before")).alias("old_filter"), S.where_clause(F.col("after")).alias("new_filter"),
-        _ddl_changes(F.col("after")).alias("ddl"),
-    )
+    texts = changed_files(revisions.select(
+        "analysis_id", "path", F.col("status").alias("file_status"), "before", "after"))
+    files = settle(texts, {
+        "dataset": S.infer_dataset(F.col("path"), F.col("before"), F.col("after"), marker),
+        "sources": F.array_union(S.source_datasets(F.col("before")), S.source_datasets(F.col("after"))),
+        "old_filter": S.where_clause(F.col("before")), "new_filter": S.where_clause(F.col("after")),
+        "ddl": _ddl_changes(F.col("after")),
+    })
     dataset = F.col("dataset")
     findings = projections(files).select(
         *FILE_KEYS, "sources",

@@ -59,6 +59,23 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread a thin input (fewer splits than cores) before costly per-row work; others are left alone."""
+    wanted = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
+
+
+def settle(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns that are computed once per row.
+
+    The optimizer merges neighbouring projections; a column read inside a lambda
+    would then be computed anew for every array element. A one-row ``inline`` sits
+    between the two and keeps the value.
+    """
+    row = F.struct(*[value.alias(name) for name, value in columns.items()])
+    return df.select("*", F.inline(F.array(row)))
+
+
 def with_key(df: DataFrame, keys: dict[str, Column | str]) -> DataFrame:
     """Prepend constant or derived key columns."""
     added = [(value if isinstance(value, Column) else F.lit(value)).alias(name) for name, value in keys.items()]

@@ -8,6 +8,7 @@ from deltawarden.functions import sqltext as S
 from deltawarden.functions.safetext import evidence_text
 from deltawarden.operators.checks import file_summary, revision_violations, screen_sql
 from deltawarden.operators.detect import dedupe_changes, detect_changes
+from deltawarden.session import settle
 from deltawarden.sources.revisions import scan_revisions
 from deltawarden.workloads.inputs import EXPORTED, derive, query, table
 
@@ -20,7 +21,11 @@ from ({EXPORTED}) exported"""
 
 
 def revisions(spark, sf_dir) -> DataFrame:
-    return scan_revisions(derive(spark, sf_dir, EXPORTED))
+    exported = derive(spark, sf_dir, EXPORTED, heavy=True)
+    # The derived texts are long expressions; a real export would simply be read.
+    kept = exported.withColumnsRenamed({"before": "_before", "after": "_after"})
+    texts = settle(kept, {"before": F.col("_before"), "after": F.col("_after")})
+    return scan_revisions(texts.drop("_before", "_after"))
 
 
 @query("revision_scan", SCANNED)

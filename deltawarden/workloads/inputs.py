@@ -11,6 +11,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deltawarden.session import spread
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -33,11 +35,12 @@ def _names(sql: str) -> list[str]:
     return sorted(set(re.findall(r"\[\[(\w+)\]\]", sql)))
 
 
-def derive(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    """Run a shared derivation; ``[[orders]]`` stands for the table."""
+def derive(spark: SparkSession, sf_dir: str, sql: str, heavy: bool = False) -> DataFrame:
+    """Run a shared derivation; ``[[orders]]`` stands for the table. ``heavy`` spreads thin tables first."""
     for name in _names(sql):
         view = f"given_{name}"
-        table(spark, sf_dir, name).createOrReplaceTempView(view)
+        rows = table(spark, sf_dir, name)
+        (spread(rows) if heavy else rows).createOrReplaceTempView(view)
         sql = sql.replace(f"[[{name}]]", view)
     return spark.sql(sql)
 
