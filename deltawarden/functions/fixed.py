@@ -72,6 +72,11 @@ CHECK_ROUTE = "Route to: "
 # White space as the text rules understand it: ASCII, the Unicode space separators and the BOM.
 SPACE_CHARS = r"\s\u00a0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff"
 WS = f"[{SPACE_CHARS}]"
+# The same set as plain characters, for trimming.
+SPACES = (
+    " \t\n\x0b\x0c\r\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+    "\u2028\u2029\u202f\u205f\u3000\ufeff"
+)
 LINE_COMMENT = r"--[^\n\r\u2028\u2029]*"
 BLOCK_COMMENT = r"/\*[\s\S]*?\*/"
 STRING_LITERAL = r"'[^']*'"

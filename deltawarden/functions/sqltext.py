@@ -44,7 +44,7 @@ def none_if_empty(value: Column) -> Column:
 
 
 def trim_spaces(value: Column) -> Column:
-    return F.regexp_replace(value, rf"\A{WS}+|{WS}+\z", "")
+    return F.btrim(value, F.lit(K.SPACES))
 
 
 def without_comments(sql: Column, filler: str) -> Column:
@@ -97,7 +97,6 @@ def select_list_text(sql: Column) -> Column:
 
 
 _MARKS = re.compile(r"""'[^']*(?:'|\Z)|"[^"]*(?:"|\Z)|`[^`]*(?:`|\Z)|[(),]""")
-_PY_SPACES = " \t\n\x0b\x0c\r\u00a0\u1680\u2028\u2029\u202f\u205f\u3000\ufeff" + "".join(map(chr, range(0x2000, 0x200B)))
 
 
 def cut_at_top_level_commas(text: str | None) -> list[str]:
@@ -115,7 +114,7 @@ def cut_at_top_level_commas(text: str | None) -> list[str]:
             pieces.append(text[start:mark.start()])
             start = mark.end()
     pieces.append(text[start:])
-    return [piece for piece in (raw.strip(_PY_SPACES) for raw in pieces) if piece]
+    return [piece for piece in (raw.strip(K.SPACES) for raw in pieces) if piece]
 
 
 @pandas_udf(T.ArrayType(T.StringType()))
