@@ -367,7 +367,7 @@ def changes(spark, sf_dir) -> DataFrame:
 
 
 def consumers(spark, sf_dir) -> DataFrame:
-    rows = derive(spark, sf_dir, CONSUMERS)
+    rows = derive(spark, sf_dir, CONSUMERS, heavy=True)
     return rows.select(
         "analysis_id", "urn", "name", "type", "tier", "production", "business_critical", "sql",
         F.when(F.col("input_column").isNotNull(), F.array("input_column")).alias("input_columns"),

@@ -21,11 +21,13 @@ from ({EXPORTED}) exported"""
 
 
 def revisions(spark, sf_dir) -> DataFrame:
-    exported = derive(spark, sf_dir, EXPORTED, heavy=True)
-    # The derived texts are long expressions; a real export would simply be read.
+    return scan_revisions(with_texts(derive(spark, sf_dir, EXPORTED, heavy=True)))
+
+
+def with_texts(exported: DataFrame) -> DataFrame:
+    """The derived texts are long expressions, built once here; a real export would simply be read."""
     kept = exported.withColumnsRenamed({"before": "_before", "after": "_after"})
-    texts = settle(kept, {"before": F.col("_before"), "after": F.col("_after")})
-    return scan_revisions(texts.drop("_before", "_after"))
+    return settle(kept, {"before": F.col("_before"), "after": F.col("_after")}).drop("_before", "_after")
 
 
 @query("revision_scan", SCANNED)
@@ -53,9 +55,7 @@ select {ID_SQL} as analysis_id, case when number % 71 = 0 then 'no-slash' else r
        case when number % 103 = 0 then 'copied' when number % 113 = 0 then 'added' when number % 127 = 0 then 'removed'
             else 'modified' end as status,
        case when number % 2111 = 0 then repeat('x', 2000001) else before end as before, after
-from (select e.*, cast(regexp_replace(path, '[^0-9]', '', 'g') as bigint) as number from ({EXPORTED}) e) n"""
-
-NO_DIGITS_SPARK = "regexp_replace(path, '[^0-9]', '')"
+from ({EXPORTED}) e"""
 
 
 @query("revision_validate", f"""
@@ -76,8 +76,7 @@ union all select distinct analysis_id, null, 'base_equals_head' from d where bas
 union all select analysis_id, null, 'too_many_files' from d group by 1 having count(*) > 100
 union all select analysis_id, null, 'total_too_large' from d group by 1 having sum(ob + oa) > 2000000""")
 def revision_validate(spark, sf_dir):
-    return revision_violations(derive(spark, sf_dir, DEFECTIVE.replace(
-        "regexp_replace(path, '[^0-9]', '', 'g')", NO_DIGITS_SPARK)))
+    return revision_violations(with_texts(derive(spark, sf_dir, DEFECTIVE, heavy=True)))
 
 
 PATCHES = """

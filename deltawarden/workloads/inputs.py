@@ -59,7 +59,7 @@ from [[lineitem]]
 
 # One changed file per order, one pull request per customer; the order number picks the edit.
 EXPORTED = """
-select 'acme/shop_' || cast(o_custkey % 7 as string) as repository,
+select o_orderkey as number, 'acme/shop_' || cast(o_custkey % 7 as string) as repository,
        cast(o_custkey + 1 as int) as pull_request,
        lpad(cast(o_custkey as string), 40, 'A') as base_sha,
        lpad(cast(o_custkey as string), 40, 'B') as head_sha,

@@ -109,7 +109,7 @@ select order_id, line_number, coalesce(cast(discount_percentage as double), 0) /
        cast(gross_amount as double) * (1 - coalesce(cast(discount_percentage as double), 0) / 100.0) as net_revenue
 from {ORACLE_LINES}""")
 def model_staging(spark, sf_dir):
-    lines = derive(spark, sf_dir, LINES)
+    lines = derive(spark, sf_dir, LINES, heavy=True)
     rate = F.coalesce(F.col("discount_percentage").cast("double"), F.lit(0.0)) / 100.0
     return lines.select("order_id", "line_number", rate.alias("discount_rate"),
                         (F.col("gross_amount").cast("double") * (1 - rate)).alias("net_revenue"))
@@ -121,7 +121,7 @@ select order_id, line_number, customer_segment, {RATE} as order_discount_ratio,
 from {ORACLE_LINES}""")
 def model_features(spark, sf_dir):
     rate = F.expr(RATE)
-    return derive(spark, sf_dir, LINES).select(
+    return derive(spark, sf_dir, LINES, heavy=True).select(
         "order_id", "line_number", "customer_segment", rate.alias("order_discount_ratio"),
         F.when(rate > 0.08, 1).otherwise(0).alias("is_high_discount"))
 
@@ -147,7 +147,7 @@ def features(inputs):
 
 
 def chain(spark, sf_dir, net: str = NET) -> dict[str, DataFrame]:
-    return build_models({"lines": derive(spark, sf_dir, LINES)}, {
+    return build_models({"lines": derive(spark, sf_dir, LINES, heavy=True)}, {
         "order_discount_features": (("stg_orders",), features),
         "fct_order_revenue": (("stg_orders",), fact),
         "stg_orders": (("lines",), staging(net)),
@@ -190,7 +190,7 @@ def model_chain(spark, sf_dir):
 select category, metric, round(num_value, 4) as num_value, text_value
 from ({oracle_profile(oracle_model(NET), REVENUE_TYPES, ORACLE_REVENUE)}) p""")
 def profile_query(spark, sf_dir):
-    rows = EXACT_BEFORE.apply(derive(spark, sf_dir, LINES))
+    rows = EXACT_BEFORE.apply(derive(spark, sf_dir, LINES, heavy=True))
     return rounded(profile_table(rows, REVENUE.metrics, REVENUE.distributions), "num_value")
 
 
@@ -200,7 +200,7 @@ select customer_segment, round(100.0 * count(*) filter (where discount_percentag
        round(100.0 * count(*) filter (where gross_amount is null) / count(*), 6) as gross_nulls
 from {ORACLE_LINES} group by customer_segment""")
 def null_rates(spark, sf_dir):
-    lines = derive(spark, sf_dir, LINES).withColumn("line_number", F.expr("nullif(line_number, 3)"))
+    lines = derive(spark, sf_dir, LINES, heavy=True).withColumn("line_number", F.expr("nullif(line_number, 3)"))
     return rounded(lines.groupBy("customer_segment").agg(
         null_rate("discount_percentage").alias("discount_nulls"), null_rate("line_number").alias("line_nulls"),
         null_rate("gross_amount").alias("gross_nulls")), "discount_nulls", "line_nulls", "gross_nulls", digits=6)
@@ -217,7 +217,7 @@ select customer_segment, line_number, category, metric, round(num_value, 3) as n
   select customer_segment, line_number, 'distribution', 'largest', cast(max(gross_amount) as double)
   from {ORACLE_LINES} group by 1, 2) m""")
 def metrics_profile(spark, sf_dir):
-    rows = derive(spark, sf_dir, LINES).select("customer_segment", "line_number", "gross_amount")
+    rows = derive(spark, sf_dir, LINES, heavy=True).select("customer_segment", "line_number", "gross_amount")
     profile = profile_table(rows, {"total": "SUM(gross_amount)", "average": "AVG(gross_amount)"},
                             {"largest": "MAX(gross_amount)"}, keys=["customer_segment", "line_number"])
     return rounded(profile.filter("category in ('metric', 'distribution')").drop("text_value"), "num_value", digits=3)
@@ -227,7 +227,7 @@ def metrics_profile(spark, sf_dir):
 select customer_segment, line_number, round(median(cast({NET} as double)), 4) as median_net
 from {ORACLE_LINES} group by 1, 2""")
 def distribution_median(spark, sf_dir):
-    rows = derive(spark, sf_dir, LINES).select("customer_segment", "line_number", F.expr(NET).alias("net"))
+    rows = derive(spark, sf_dir, LINES, heavy=True).select("customer_segment", "line_number", F.expr(NET).alias("net"))
     profile = profile_table(rows, {}, {"median_net": "MEDIAN(net)"}, keys=["customer_segment", "line_number"],
                             accuracy=10_000)
     return profile.filter("category = 'distribution'").select(
@@ -239,7 +239,7 @@ select line_number, round(cast(sum(gross_amount) filter (where customer_segment
        / nullif(cast(sum(gross_amount) as double), 0), 6) as returned_share
 from {ORACLE_LINES} group by 1""")
 def distribution_share(spark, sf_dir):
-    rows = derive(spark, sf_dir, LINES).select("customer_segment", "line_number", "gross_amount")
+    rows = derive(spark, sf_dir, LINES, heavy=True).select("customer_segment", "line_number", "gross_amount")
     share = "SUM(gross_amount) FILTER (WHERE customer_segment = 'R') / NULLIF(SUM(gross_amount), 0)"
     profile = profile_table(rows, {}, {"returned_share": share}, keys=["line_number"])
     return profile.filter("category = 'distribution'").select(
@@ -264,7 +264,7 @@ REWORKED_ORACLE = oracle_compare(
 
 
 def reworked(spark, sf_dir):
-    lines = derive(spark, sf_dir, LINES)
+    lines = derive(spark, sf_dir, LINES, heavy=True)
     return replay(EXACT_BEFORE.apply(lines), REWORKED.apply(lines), REWORKED_MEASURES)
 
 
@@ -275,7 +275,7 @@ def replay_all_categories(spark, sf_dir):
 
 @query("compare_profiles", REWORKED_ORACLE)
 def compare_profiles_query(spark, sf_dir):
-    lines = derive(spark, sf_dir, LINES)
+    lines = derive(spark, sf_dir, LINES, heavy=True)
     sides = profile_sides(EXACT_BEFORE.apply(lines), REWORKED.apply(lines), REWORKED_MEASURES)
     keyed = with_key(sides, {"analysis_id": "x", "model": "m"})
     return differences_of(compare_profiles(keyed))
@@ -293,7 +293,7 @@ def compare_volume(spark, sf_dir):
 
 def per_order(spark, sf_dir) -> DataFrame:
     """A replay keyed by order: every order is an analysis of its own."""
-    lines = derive(spark, sf_dir, LINES)
+    lines = derive(spark, sf_dir, LINES, heavy=True)
     sides = []
     for side, net in (("before", NET), ("after", f"case when line_number = 2 then null else {NET_UNSAFE} end")):
         rows = lines.select(F.concat(F.lit("o"), F.col("order_id").cast("string")).alias("analysis_id"),
@@ -335,7 +335,7 @@ DANGEROUS_ORACLE = oracle_compare(
 
 @query("replay_dangerous", DANGEROUS_ORACLE)
 def replay_dangerous(spark, sf_dir):
-    lines = derive(spark, sf_dir, LINES)
+    lines = derive(spark, sf_dir, LINES, heavy=True)
     return differences_of(replay_rowwise(lines, EXACT_BEFORE, EXACT_UNSAFE, REVENUE).differences)
 
 
@@ -343,7 +343,7 @@ def replay_dangerous(spark, sf_dir):
     oracle_profile(oracle_model(NET), REVENUE_TYPES, ORACLE_REVENUE),
     oracle_profile(oracle_model(f"gross_amount - gross_amount * ({RATE})"), REVENUE_TYPES, ORACLE_REVENUE)))
 def replay_safe_refactor(spark, sf_dir):
-    lines = derive(spark, sf_dir, LINES)
+    lines = derive(spark, sf_dir, LINES, heavy=True)
     rated = lines.withColumn("rate", F.expr(RATE))
     refactored = rated.select("order_id", "gross_amount", "customer_segment", F.expr(
         "cast(gross_amount - gross_amount * rate as decimal(22,6))").alias("net_revenue"))
@@ -373,7 +373,7 @@ def replay_models_query(spark, sf_dir):
 
 def flagship(spark, sf_dir) -> DataFrame:
     """The whole question on real rows: replay the unscaled discount, compare, decide."""
-    lines = derive(spark, sf_dir, LINES)
+    lines = derive(spark, sf_dir, LINES, heavy=True)
     result = replay_rowwise(lines, BEFORE, UNSAFE, REVENUE, analysis_id="unscaled_discount")
     one = spark.range(1).select(F.lit("unscaled_discount").alias("analysis_id"),
                                 F.lit("passed").alias("execution_status"))
@@ -399,7 +399,7 @@ union all select '*', 'rows', 10000, s.n + o.n, s.n + o.n > 10000 from sizes s,
 union all select 'lines', 'cell_bytes', 1000000, widest, false from sizes
 union all select 'orders', 'cell_bytes', 1000000, widest, false from orders_size""")
 def replay_bounds(spark, sf_dir):
-    lines = derive(spark, sf_dir, LINES)
+    lines = derive(spark, sf_dir, LINES, heavy=True)
     inputs = input_bounds({"lines": lines, "orders": table(spark, sf_dir, "orders")})
     return result_bounds(lines, "result", max_rows=1000).unionByName(inputs)
 
