@@ -206,21 +206,25 @@ def null_rates(spark, sf_dir):
         null_rate("gross_amount").alias("gross_nulls")), "discount_nulls", "line_nulls", "gross_nulls", digits=6)
 
 
+# Whole cents as doubles: their sums are exact in any order of rows.
+CENTS = "cast(cast(gross_amount * 100 as bigint) as double)"
+
+
 @query("metrics_profile", f"""
-select customer_segment, line_number, category, metric, round(num_value, 3) as num_value from (
+select customer_segment, line_number, category, metric, num_value from (
   select customer_segment, line_number, 'metric' as category, 'total' as metric,
          cast(sum(gross_amount) as double) as num_value from {ORACLE_LINES} group by 1, 2
   union all
-  select customer_segment, line_number, 'metric', 'average', cast(sum(gross_amount) as double) / count(gross_amount)
-  from {ORACLE_LINES} group by 1, 2
+  select customer_segment, line_number, 'metric', 'average', avg({CENTS}) from {ORACLE_LINES} group by 1, 2
   union all
   select customer_segment, line_number, 'distribution', 'largest', cast(max(gross_amount) as double)
   from {ORACLE_LINES} group by 1, 2) m""")
 def metrics_profile(spark, sf_dir):
-    rows = derive(spark, sf_dir, LINES, heavy=True).select("customer_segment", "line_number", "gross_amount")
-    profile = profile_table(rows, {"total": "SUM(gross_amount)", "average": "AVG(gross_amount)"},
+    rows = derive(spark, sf_dir, LINES, heavy=True).select(
+        "customer_segment", "line_number", "gross_amount", F.expr(CENTS).alias("cents"))
+    profile = profile_table(rows, {"total": "SUM(gross_amount)", "average": "AVG(cents)"},
                             {"largest": "MAX(gross_amount)"}, keys=["customer_segment", "line_number"])
-    return rounded(profile.filter("category in ('metric', 'distribution')").drop("text_value"), "num_value", digits=3)
+    return profile.filter("category in ('metric', 'distribution')").drop("text_value")
 
 
 @query("distribution_median", f"""
