@@ -48,6 +48,6 @@ def affected_models(ref_edges: DataFrame, changed: DataFrame, **options) -> Data
 
     ``changed(root)``; the reader orders by its own manifest position.
     """
-    reach = downstream_lineage(ref_edges, changed, depth=None, **options)
+    reach = downstream_lineage(ref_edges, changed, depth=None, with_hops=False, **options)
     start = changed.select("root", F.col("root").alias("name"), F.lit(0).alias("degree")).distinct()
     return start.unionByName(reach.nodes.withColumnRenamed("urn", "name"))

@@ -65,7 +65,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
 
 
 def spread(df: DataFrame) -> DataFrame:
-    """Spread a thin input (fewer splits than cores) before costly per-row work; others are left alone."""
+    """Spread a thin scan (fewer splits than cores) before costly per-row work; others are left alone.
+
+    For plain scans only: counting the splits of a plan with shuffles would run them.
+    """
     wanted = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(wanted) if df.rdd.getNumPartitions() < wanted else df
 

@@ -179,14 +179,14 @@ def change_hints_query(spark, sf_dir):
 # --- identity --------------------------------------------------------------------------------
 
 def catalog(spark, sf_dir) -> DataFrame:
-    parts = derive(spark, sf_dir, DATASETS)
+    parts = derive(spark, sf_dir, DATASETS, heavy=True)
     fields = F.transform(F.array("field_a", "field_b", "field_c"), lambda f: F.struct(
         f.alias("field_path"), F.lit("BIGINT").alias("native_type"), F.lit(None).cast("string").alias("description")))
     return parts.select("urn", "name", "platform", fields.alias("fields"))
 
 
 def hints(spark, sf_dir) -> DataFrame:
-    return derive(spark, sf_dir, HINTS).withColumn("columns", F.array("want_a", "want_b", "want_c"))
+    return derive(spark, sf_dir, HINTS, heavy=True).withColumn("columns", F.array("want_a", "want_b", "want_c"))
 
 
 # Every hint held against every dataset: what the search must find without comparing all pairs.
@@ -277,7 +277,7 @@ def reach(spark, sf_dir, **options):
 
 @query("lineage_downstream", REACHED + "select root, urn, cast(degree as integer) as degree from nodes where urn <> root")
 def lineage_downstream(spark, sf_dir):
-    return reach(spark, sf_dir).nodes
+    return reach(spark, sf_dir, with_hops=False).nodes
 
 
 @query("lineage_edges_reached", REACHED + f"""
