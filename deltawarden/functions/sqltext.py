@@ -96,30 +96,35 @@ def select_list_text(sql: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(sql, K.LINE_COMMENT, " "), SELECT_LIST, 1)
 
 
-_MARKS = re.compile(r"""'[^']*(?:'|\Z)|"[^"]*(?:"|\Z)|`[^`]*(?:`|\Z)|[(),]""")
-
-
-def cut_at_top_level_commas(text: str | None) -> list[str]:
-    """Linear scan over quotes, brackets and commas; only commas at depth 0 cut."""
-    if not text:
-        return []
-    depth, start, pieces = 0, 0, []
-    for mark in _MARKS.finditer(text):
-        symbol = mark.group()
-        if symbol == "(":
-            depth += 1
-        elif symbol == ")":
-            depth = depth - 1 if depth else 0
-        elif symbol == "," and depth == 0:
-            pieces.append(text[start:mark.start()])
-            start = mark.end()
-    pieces.append(text[start:])
-    return [piece for piece in (raw.strip(K.SPACES) for raw in pieces) if piece]
-
-
-@pandas_udf(T.ArrayType(T.StringType()))
-def split_select_list(lists: pd.Series) -> pd.Series:
-    return lists.map(cut_at_top_level_commas)
+def _comma_cutter():
+    """The cutter as a closure: it travels to the Python workers by value, so they need not have this package."""
+    marks = re.compile(r"""'[^']*(?:'|\Z)|"[^"]*(?:"|\Z)|`[^`]*(?:`|\Z)|[(),]""")
+    spaces = K.SPACES
+
+    def cut(text):
+        """Linear scan over quotes, brackets and commas; only commas at depth 0 cut."""
+        if not text:
+            return []
+        depth, start, pieces = 0, 0, []
+        for mark in marks.finditer(text):
+            symbol = mark.group()
+            if symbol == "(":
+                depth += 1
+            elif symbol == ")":
+                depth = depth - 1 if depth else 0
+            elif symbol == "," and depth == 0:
+                pieces.append(text[start:mark.start()])
+                start = mark.end()
+        pieces.append(text[start:])
+        return [piece for piece in (raw.strip(spaces) for raw in pieces) if piece]
+
+    def cut_all(lists: pd.Series) -> pd.Series:
+        return lists.map(cut)
+
+    return cut, pandas_udf(cut_all, T.ArrayType(T.StringType()))
+
+
+cut_at_top_level_commas, split_select_list = _comma_cutter()
 
 
 def output_name(expression: Column) -> Column:

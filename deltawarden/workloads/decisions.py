@@ -14,7 +14,7 @@ from deltawarden.operators.decide import (
 from deltawarden.operators.profile import profile_table
 from deltawarden.plans.analysis import Analysis, full_analysis
 from deltawarden.plans.view import analysis_view
-from deltawarden.session import scratch_path, with_key
+from deltawarden.session import cut_lineage, scratch_path, with_key
 from deltawarden.sources.revisions import scan_revisions
 from deltawarden.sources.tables import conform_table, read_typed_csv
 from deltawarden.workloads.catalogs import PART_URN, consumers
@@ -125,7 +125,7 @@ bullets as (select analysis_id, string_agg('- ' || reason, chr(10) order by rn)
 def reasons_query(spark, sf_dir):
     from pyspark.sql import Window
 
-    reasons = decision_reasons(decided(spark, sf_dir), derive(spark, sf_dir, GAPS))
+    reasons = decision_reasons(cut_lineage(decided(spark, sf_dir)), derive(spark, sf_dir, GAPS))
     order = Window.partitionBy("analysis_id").orderBy("position")
     return reasons.select("analysis_id", "reason", F.row_number().over(order).alias("place"))
 
@@ -144,7 +144,8 @@ select f.analysis_id, f.head_sha, f.conclusion,
        || b.listed as text, true as valid
 from final f left join owners o on o.analysis_id = f.analysis_id left join bullets b on b.analysis_id = f.analysis_id""")
 def report_query(spark, sf_dir):
-    gaps, verdicts = derive(spark, sf_dir, GAPS), decided(spark, sf_dir)
+    # Read by the reasons and by the report, so written once.
+    gaps, verdicts = derive(spark, sf_dir, GAPS), cut_lineage(decided(spark, sf_dir))
     owners = owner_line(affected_owners(marked_consumers(spark, sf_dir)))
     return decision_report(verdicts, decision_reasons(verdicts, gaps), owners).drop("summary")
 
@@ -164,7 +165,7 @@ select k.analysis_id, 'urn:li:document:deltawarden_' || sha256(k) as target_urn,
        'Analysis ID is not scoped to the head commit' as problem
 from keyed k join bullets b on b.analysis_id = k.analysis_id""")
 def evidence_query(spark, sf_dir):
-    verdicts = decided(spark, sf_dir)
+    verdicts = cut_lineage(decided(spark, sf_dir))
     return E.evidence_records(verdicts, decision_reasons(verdicts, derive(spark, sf_dir, GAPS)))
 
 
