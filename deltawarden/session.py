@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -29,28 +30,39 @@ def build_session(app_name: str = "deltawarden", master: str | None = None, **co
     return builder.getOrCreate()
 
 
-def checkpoint_root(spark: SparkSession) -> str:
-    """Shared folder for checkpoints and intermediate tables.
+def _configured_folder(spark: SparkSession) -> str | None:
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
-    ``spark.checkpoint.dir`` decides. Only a local-mode session that names none
-    gets a temporary folder; a cluster session must name a shared one.
+
+def local_scratch(spark: SparkSession) -> None:
+    """Name a checkpoint folder for a session that runs in one process and has none.
+
+    For entry points and tests. On a cluster, ``spark.checkpoint.dir`` must name a folder all executors share.
     """
     context = spark.sparkContext
-    current = context.getCheckpointDir()
-    if current:
-        return current
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    in_process = context.master == "local" or context.master.startswith("local[")
+    if in_process and not _configured_folder(spark):
+        context.setCheckpointDir(f"{tempfile.gettempdir()}/deltawarden-{os.getpid()}")
+
+
+def scratch_root(spark: SparkSession) -> str:
+    """This application's own folder for intermediate tables, below ``spark.checkpoint.dir``."""
+    configured = _configured_folder(spark)
     if not configured:
-        if not context.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
-        configured = tempfile.mkdtemp(prefix="deltawarden-")
-    context.setCheckpointDir(configured)
-    return context.getCheckpointDir()
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors share")
+    return f"{configured.rstrip('/')}/deltawarden-{spark.sparkContext.applicationId}"
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the shared checkpoint folder."""
-    return f"{checkpoint_root(spark)}/{name}-{uuid.uuid4().hex}"
+    """A fresh path in the application's folder."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def release(spark: SparkSession) -> None:
+    """Remove the intermediate tables of this application. Results that still read them must be used up before."""
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    root = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(scratch_root(spark))
+    root.getFileSystem(hadoop).delete(root, True)
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 
-from deltawarden.session import build_session  # noqa: E402
+from deltawarden.session import build_session, local_scratch, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -15,7 +15,9 @@ def spark():
         # Tables here are tiny: compiling generated code would take longer than running without it.
         "spark.sql.codegen.wholeStage": "false"})
     session.sparkContext.setLogLevel("ERROR")
+    local_scratch(session)
     yield session
+    release(session)
     session.stop()
 
 
