@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from deltawarden.llm import compression, fingerprints, mixing, packing, simhash
+from deltawarden.llm import compression, fingerprints, mixing, packing, simhash, substrings
 from deltawarden.llm.common import table
 from deltawarden.llm.oracles import ORACLES  # noqa: F401 - registered with the queries
 
@@ -23,6 +23,11 @@ def op4_bin_completion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), capacity=2048, separator=0)
 
 
+def op5_fm_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.without_repeats(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op6_polynomial_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.deduplicate(table(spark, sf_dir, "documents")).select(
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
@@ -41,6 +46,6 @@ def op10_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op3_compression_bands, op4_bin_completion, op6_polynomial_fingerprints, op7_target_weights,
+        op3_compression_bands, op4_bin_completion, op5_fm_index, op6_polynomial_fingerprints, op7_target_weights,
         op10_vantage_tree)
 }

@@ -1,0 +1,112 @@
+"""Wavelet matrix, FM-index and passage removal against brute force."""
+
+import random
+import re
+from collections import Counter
+
+import numpy as np
+import pytest
+
+from deltawarden.llm import substrings, wavelet
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+SCHEMA = "doc_id bigint, text string, words string, Spans string"
+
+
+def brute(texts, window):
+    """(n_words, n_removed, kept) per text."""
+    words = [WORD.findall(t or "") for t in texts]
+    counts = Counter(tuple(w[i:i + window]) for w in words for i in range(len(w) - window + 1))
+    out = []
+    for w in words:
+        gone = {i + k for i in range(len(w) - window + 1) if counts[tuple(w[i:i + window])] > 1 for k in range(window)}
+        out.append((len(w), len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)))
+    return out
+
+
+def test_wavelet_matrix_ranks():
+    r = np.random.default_rng(1)
+    for sigma, n in ((2, 1), (3, 64), (17, 1000), (300, 129)):
+        sequence = r.integers(0, sigma, n)
+        matrix = wavelet.WaveletMatrix(sequence, sigma)
+        symbols, at = r.integers(0, sigma, 200), r.integers(0, n + 1, 200)
+        assert matrix.rank(symbols, at).tolist() == [int((sequence[:i] == c).sum()) for c, i in zip(symbols, at)]
+
+
+def test_suffix_order():
+    r = np.random.default_rng(3)
+    for sigma, n in ((3, 300), (50_000, 500), (2, 40)):
+        symbols = r.integers(1, sigma + 1, n)  # 0 ends a text
+        order = wavelet.suffix_order(symbols, n)
+        assert order.tolist() == sorted(range(n), key=lambda i: symbols[i:].tolist())
+
+
+def test_index_counts_patterns_by_weight():
+    r = random.Random(2)
+    texts = [[r.randint(1, 4) for _ in range(r.randint(1, 30))] for _ in range(60)]
+    weights = [r.randint(1, 3) for _ in texts]
+    symbols = np.array([s for t in texts for s in [*t, 0]])
+    index = wavelet.FMIndex(symbols, 5, np.repeat(weights, [len(t) + 1 for t in texts]), 31)
+    for _ in range(200):
+        pattern = [r.randint(1, 4) for _ in range(r.randint(1, 6))]
+        low, high = np.zeros(1, np.int64), np.full(1, index.size)
+        for s in reversed(pattern):
+            low, high = index.extend(low, high, np.array([s]))
+        want = sum(w for t, w in zip(texts, weights) for i in range(len(t)) if t[i:i + len(pattern)] == pattern)
+        assert index.weight[high[0]] - index.weight[low[0]] == want
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_repeated_windows_of_an_index(seed):
+    r = random.Random(seed)
+    window, sigma = 5, 3 + seed
+    texts = [[r.randint(1, sigma - 1) for _ in range(r.randint(1, 14))] for _ in range(80)]
+    symbols = np.array([s for t in texts for s in [*t, 0]])
+    index = wavelet.FMIndex(symbols, sigma, np.ones(len(symbols), np.int64), 16)
+    lengths = np.array([len(t) for t in texts])
+    lanes = np.zeros((len(texts), 14), np.int32)
+    for i, t in enumerate(texts):
+        lanes[i, :len(t)] = t
+    counts = Counter(tuple(t[i:i + window]) for t in texts for i in range(len(t) - window + 1))
+    flags = wavelet.repeated_windows(index, lanes, lengths, window)
+    for i, t in enumerate(texts):
+        want = [counts[tuple(t[k:k + window])] > 1 for k in range(len(t) - window + 1)]
+        assert flags[i, :len(want)].tolist() == want and not flags[i, len(want):].any()
+
+
+def corpus():
+    r = random.Random(11)
+    vocabulary = ["".join(r.choice("abcdefgh") for _ in range(r.randint(1, 5))) for _ in range(300)] + ["É", "漢"]
+
+    def prose(n):
+        return [r.choice(vocabulary) for _ in range(n)]
+
+    passage, long_one = prose(60), prose(400)
+    edited = list(long_one)
+    edited[200] = "edited"
+    texts = [None, "", " \n\t", "one two", " ".join(prose(34)), " ".join(prose(300)), " ".join(long_one),
+             " ".join(long_one), "\n".join(edited), " ".join(prose(40) + passage + prose(50)),
+             " ".join(passage[:40] + prose(20)), " ".join(prose(20) + passage[-36:]), " ".join(passage[:34] + ["z"]),
+             " ".join(["again"] * 90), " ".join(prose(35)), " ".join(prose(50) * 2), "w\x0b" + "\x0c".join(prose(80))]
+    texts += [" ".join(prose(r.randint(0, 30)) + passage[5:50] + prose(r.randint(0, 30))) for _ in range(30)]
+    return texts
+
+
+@pytest.mark.parametrize("rules", [
+    substrings.PassageRules(), substrings.PassageRules(anchor=3, shard_words=300),
+    substrings.PassageRules(hot_runs=4, hot_sample=1), substrings.PassageRules(window=8, anchor=2, shard_words=2000)])
+def test_passages(spark, rules):
+    texts = corpus()
+    texts += [texts[9]]
+    rows = [(i, t, "x", "y") for i, t in enumerate(texts)] + [(None, texts[5], "", ""), (3, "one two", "", "")]
+    frame = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    found = substrings.without_repeats(frame, rules).collect()
+    want = brute([t for _, t, *_ in rows], rules.window)
+    assert sorted([(r.doc_id, r.n_words, r.n_removed, bytes(r.kept_text).decode()) for r in found], key=str) == \
+        sorted([(row[0], *w) for row, w in zip(rows, want)], key=str)
+
+
+def test_empty_table_and_no_repeats(spark):
+    assert substrings.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
+    alone = substrings.without_repeats(spark.createDataFrame([(1, "a b c", "", "")], SCHEMA)).collect()
+    assert [(r.n_words, r.n_removed, bytes(r.kept_text)) for r in alone] == [(3, 0, b"a b c")]
