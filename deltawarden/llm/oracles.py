@@ -57,3 +57,88 @@ WITH thin AS (
 )
 """
 ORACLES["op7_target_weights"] = _MIX + "SELECT doc_id, size, source_size, target, size * copies AS taken FROM drawn"
+
+ORACLES["op9_preference_pairs"] = r"""
+WITH turns AS (
+    SELECT conv_id AS pair_id, turn, role, text FROM conversations
+), spoiled AS (
+    SELECT pair_id, CASE WHEN pair_id % 3 = 1 THEN min(turn) FILTER (role = 'assistant')
+                         ELSE max(turn) FILTER (role = 'assistant') END AS spoiled
+    FROM turns GROUP BY pair_id
+), rejected AS (
+    SELECT turns.pair_id, turn, role, CASE WHEN turn = spoiled AND role = 'assistant'
+        THEN array_to_string(list_reverse(string_split(text, ' ')), ' ') ELSE text END AS text
+    FROM turns JOIN spoiled ON turns.pair_id IS NOT DISTINCT FROM spoiled.pair_id
+), sides AS (
+    SELECT *, 'chosen' AS side FROM turns UNION ALL SELECT *, 'rejected' FROM rejected
+), placed AS (
+    SELECT *, row_number() OVER (PARTITION BY pair_id, side ORDER BY turn NULLS FIRST, role NULLS FIRST,
+                                 text NULLS FIRST) AS place,
+           row_number() OVER (PARTITION BY pair_id, side, turn, role, text) - 1 AS copy
+    FROM sides
+), matched AS (
+    SELECT c.pair_id, c.place FROM placed c JOIN placed r
+    ON c.pair_id IS NOT DISTINCT FROM r.pair_id AND c.place = r.place AND c.side = 'chosen' AND r.side = 'rejected'
+    AND c.turn IS NOT DISTINCT FROM r.turn AND c.role IS NOT DISTINCT FROM r.role AND c.text IS NOT DISTINCT FROM r.text
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY place) AS run FROM matched
+), prompts AS (
+    SELECT pair_id, count(*) AS length FROM numbered WHERE run = place GROUP BY pair_id
+), parts AS (
+    SELECT placed.*, CASE WHEN place <= coalesce(length, 0) THEN 'prompt' ELSE side END AS part,
+           '<|im_start|>' || coalesce(role, 'user') || chr(10) AS head
+    FROM placed LEFT JOIN prompts ON placed.pair_id IS NOT DISTINCT FROM prompts.pair_id
+    WHERE side = 'chosen' OR place > coalesce(length, 0)
+)
+SELECT pair_id, part, turn, role, copy, head || coalesce(text, '') || '<|im_end|>' || chr(10) AS segment,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(head) ELSE 0 END AS train_start,
+       CASE WHEN part <> 'prompt' AND role = 'assistant' THEN length(head) + length(coalesce(text, '')) + 10 ELSE 0
+       END AS train_end
+FROM parts
+"""
+
+ORACLES["op1_revisit_resolution"] = r"""
+WITH base AS (
+    SELECT page_id, url, coalesce(html, '') AS html, 1700000000 + ((page_id * 7919) % 365) * 86400 + page_id % 86400 AS secs,
+           'day ' || ((page_id * 7919) % 365) AS changed, '"' || substr(md5(coalesce(html, '')), 1, 16) || '"' AS tag
+    FROM pages
+), records AS (
+    SELECT page_id, 0 AS asks, url, secs, tag AS etag, changed AS modified,
+           ['Content-Type: text/html', 'ETag: ' || tag, 'Last-Modified: ' || changed, 'Content-Length: ' || length(html),
+            'Cache-Control: no-store'] AS headers FROM base
+    UNION ALL
+    SELECT page_id, 1, regexp_replace(url, '^https?://', 'HTTPS://www.') || CASE WHEN contains(url, '#') THEN '' ELSE '#again' END,
+           secs + (page_id % 11 - 2) * 86400,
+           CASE page_id % 5 WHEN 0 THEN tag WHEN 1 THEN tag WHEN 3 THEN '"other"' END,
+           CASE page_id % 5 WHEN 1 THEN changed WHEN 4 THEN changed END,
+           CASE page_id % 5 WHEN 0 THEN ['etag: ' || tag] WHEN 1 THEN ['ETag: W/' || tag, 'Last-Modified: ' || changed]
+                WHEN 2 THEN ['X-Cache: hit'] WHEN 3 THEN ['ETag: "other"'] ELSE ['Last-Modified: ' || changed] END
+           || ['Content-Length: 0', 'cache-control: max-age=60', 'Connection: X-Hop, close', 'X-Hop: 1']
+    FROM base
+), plain AS (
+    SELECT *, regexp_replace(regexp_replace(trim(url), '#.*$', ''), '^[A-Za-z][A-Za-z0-9+.-]*://', '') AS p FROM records
+), keyed AS (
+    SELECT *, regexp_replace(regexp_replace(lower(regexp_extract(p, '^([^/?]*)', 1)), '^www[0-9]*\.', ''), ':(80|443)$', '')
+           || regexp_replace(regexp_extract(p, '^[^/?]*([^?]*)', 1), '/+$', '') AS page_key,
+           list_sort(list_filter(string_split(regexp_extract(p, '\?(.*)$', 1), '&'), lambda q: q <> '' AND NOT
+               regexp_matches(lower(q), '^(utm_[a-z]+|jsessionid|phpsessid|sid|sessionid)(=|$)'))) AS query
+    FROM plain
+), urls AS (
+    SELECT *, page_key || CASE WHEN len(query) > 0 THEN '?' || array_to_string(query, '&') ELSE '' END AS url_key FROM keyed
+), found AS (
+    SELECT *, last_value(CASE WHEN asks = 0 THEN {'id': page_id, 'etag': etag, 'modified': modified, 'headers': headers} END
+                         IGNORE NULLS) OVER (PARTITION BY url_key ORDER BY secs, asks, page_id) AS f FROM urls
+), judged AS (
+    SELECT *, CASE WHEN url_key IS NULL THEN 'invalid' WHEN f IS NULL THEN 'no_base'
+                   WHEN etag <> f.etag OR modified <> f.modified THEN 'mismatch'
+                   WHEN etag = f.etag OR modified = f.modified THEN 'resolved' ELSE 'unverified' END AS status
+    FROM found WHERE asks = 1
+), allowed AS (
+    SELECT *, list_filter(headers, lambda h: NOT regexp_matches(h, '^(Content-Length|Connection|X-Hop):')) AS sent FROM judged
+)
+SELECT page_id, url_key, status, f.id AS base_page_id, array_to_string(CASE WHEN status IN ('resolved', 'unverified') THEN
+    list_filter(f.headers, lambda h: NOT list_contains(list_transform(sent, lambda s: lower(split_part(s, ':', 1))),
+                                                       lower(split_part(h, ':', 1)))) || sent
+    ELSE headers END, chr(10)) AS headers
+FROM allowed
+"""
