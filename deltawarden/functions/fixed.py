@@ -12,12 +12,7 @@ MUTATING_WORDS = (
     "install", "load", "pragma", "replace", "set", "truncate", "update", "vacuum",
 )
 
-# --- fixed values: revision and statement limits --------------------------------------------
-MAX_FILES = 100
-MAX_FILE_BYTES = 1_000_000
-MAX_TOTAL_BYTES = 2_000_000
-MAX_PATH_CHARS = 500
-MAX_SQL_BYTES = 100_000
+# --- fixed values: revisions --------------------------------------------
 FILE_STATUSES = ("added", "modified", "removed", "renamed")
 
 # --- fixed values: replay limits (off unless asked for) --------------------------------------
@@ -47,9 +42,6 @@ CRITICAL_MAGNITUDE = 25.0
 HIGH_MAGNITUDE = 10.0
 
 # --- fixed values: reports -------------------------------------------------------------------
-MAX_REASONS = 20
-MAX_REASON_CHARS = 500
-MAX_REPORT_CHARS = 65_535
 SUMMARY_BLOCKED = "Merge blocked: {severity} data change risk"
 SUMMARY_PASSED = "Shadow analysis passed"
 SUMMARY_INCONCLUSIVE = "Shadow analysis inconclusive: required evidence is missing"
@@ -88,6 +80,8 @@ QUOTED_NAME = r"[`\"\[]?[\w$]+[`\"\]]?"
 QUOTED_TABLE = r"[`\"\[]?[\w.-]+[`\"\]]?"
 QUOTE_EDGES = r"^[`\"\[]|[`\"\]]\z"
 ANALYZABLE_FILE = r"(?i)\.(?:sql|ddl)\z"
+# An object id inside a longer name; ids follow each other between other characters.
+OBJECT_ID = r"(?<![0-9a-f])([0-9a-f]{40}(?:[0-9a-f]{24})?)(?![0-9a-f])"
 FULL_SHA = r"(?i)\A[0-9a-f]{40}(?:[0-9a-f]{24})?\z"
 REPOSITORY = r"(?i)\A[a-z0-9_.-]+/[a-z0-9_.-]+\z"
 CATALOG_URN = r"\Aurn:li:[a-zA-Z][a-zA-Z0-9_-]*:[^\s\u0000-\u001f\u007f]+\z"

@@ -7,7 +7,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types a
 from deltawarden.functions import fixed as K
 from deltawarden.functions.safetext import evidence_text
 from deltawarden.functions.sqltext import trim_spaces
-from deltawarden.operators.decide import bullet_lines, first_reasons
+from deltawarden.operators.decide import REJECTED, ReportLimits, bullet_lines, shown_reasons
+from deltawarden.session import cut_lineage
 
 TOOL = "deltawarden"
 BUNDLE_SCHEMA = (
@@ -21,7 +22,6 @@ BUNDLE_SCHEMA = (
     "consumers:array<struct<urn:string,name:string,type:string,platform:string>>>>>"
 )
 SUPPORTED_VERSIONS = ("1", "2")
-MAX_BUNDLE_CHARS = 5_000_000
 
 
 def analysis_id(repository: Column, pull_request: Column, head_sha: Column) -> Column:
@@ -49,12 +49,15 @@ def marker(key: Column) -> Column:
     return F.concat(F.lit("<!-- "), key, F.lit(" -->"))
 
 
-def evidence_records(decisions: DataFrame, reasons: DataFrame, tool: str = TOOL) -> DataFrame:
+def evidence_records(
+    decisions: DataFrame, reasons: DataFrame, tool: str = TOOL, limits: ReportLimits = ReportLimits()
+) -> DataFrame:
     """One record per decision that carries ``repository, pull_request, head_sha`` (and maybe ``check_url``)."""
     title = tool.capitalize()
     outcome = F.when(F.col("conclusion") == "failure", "BLOCKED").when(
-        F.col("conclusion") == "neutral", "INCONCLUSIVE").otherwise("PASSED")
-    joined = decisions.join(first_reasons(reasons, evidence_text), "analysis_id", "left").withColumn(
+        F.col("conclusion") == "neutral", "INCONCLUSIVE").when(
+        F.col("conclusion") == REJECTED, "REJECTED").otherwise("PASSED")
+    joined = decisions.join(shown_reasons(reasons, evidence_text, limits), "analysis_id", "left").withColumn(
         "idempotency_key", evidence_key(tool))
     link = F.concat(F.lit("- GitHub Check: "), "check_url") if "check_url" in decisions.columns else F.lit(None)
     body = F.concat_ws(
@@ -109,16 +112,54 @@ def unverified(written: DataFrame, incoming: DataFrame) -> DataFrame:
     ).select("target_urn", "idempotency_key")
 
 
-def write_bundles(bundles: DataFrame, path: str) -> None:
-    """JSON evidence, one partition per repository; a rerun replaces only the repositories it covers."""
-    bundles.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("repository").parquet(path)
+def _replace_rows(new: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
+    """Put rows into a table laid out by hash of ``key``: rows of the same key are replaced, others stay.
+
+    Only buckets that new rows fall into are read and rewritten. The rewritten buckets are written aside first, so
+    nothing is overwritten before all of it is there.
+    """
+    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
+    spark = new.sparkSession
+    fresh = cut_lineage(new.withColumn("bucket", bucket))
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        touched = fresh.select("bucket").distinct()  # at most as many rows as buckets
+        stored = spark.read.schema(fresh.schema).parquet(path).join(F.broadcast(touched), "bucket", "left_semi")
+        kept = stored.join(fresh.select(key).distinct(), key, "left_anti")
+        fresh = cut_lineage(fresh.unionByName(kept))
+    fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+        "bucket").parquet(path)
+    return spark.read.schema(fresh.schema).parquet(path).drop("bucket")
+
+
+def write_bundles(bundles: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+    """Store evidence bundles, one per analysis; an analysis written again replaces its own bundle only."""
+    return _replace_rows(bundles, path, "analysis_id", buckets)
+
+
+def write_evidence(incoming: DataFrame, path: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+    """Upsert records into the store at ``path``; returns the store as read back, and incoming records that did not
+    arrive. ``action`` in the store tells what the last write did to a record of a touched bucket."""
+    spark = incoming.sparkSession
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    incoming = cut_lineage(incoming)
+    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+        bucket = F.pmod(F.xxhash64("target_urn"), F.lit(buckets)).cast("int")
+        touched = incoming.select(bucket.alias("bucket")).distinct()  # at most as many rows as buckets
+        known = incoming.select("*", F.lit("").alias("action"), bucket.alias("bucket")).schema
+        stored = spark.read.schema(known).parquet(path).join(F.broadcast(touched), "bucket", "left_semi").drop(
+            "bucket", "action")
+    else:
+        stored = incoming.limit(0)
+    written = _replace_rows(upsert_evidence(stored, incoming), path, "target_urn", buckets)
+    return written, unverified(written, incoming)
 
 
 def bundle_json(fields: Column) -> Column:
     return F.to_json(fields)
 
 
-def scan_bundles(bundles: DataFrame) -> DataFrame:
+def scan_bundles(bundles: DataFrame, max_chars: int | None = None) -> DataFrame:
     """Parse ``(content, requested_head_sha, ...)``; ``reject_reason`` is NULL for accepted bundles."""
     schema = T.StructType(T._parse_datatype_string(BUNDLE_SCHEMA).fields + [T.StructField("_malformed", T.StringType())])
     parsed = bundles.withColumn("evidence", F.from_json(
@@ -126,7 +167,8 @@ def scan_bundles(bundles: DataFrame) -> DataFrame:
     version = F.col("evidence.schemaVersion")
     head = F.col("evidence.generatedFor.headSha")
     reason = (
-        F.when(F.length("content") > MAX_BUNDLE_CHARS, "Evidence JSON exceeds size limit")
+        F.when(F.lit(False) if max_chars is None else F.length("content") > max_chars,
+               "Evidence JSON exceeds size limit")
         .when(F.col("evidence").isNull() | F.col("evidence._malformed").isNotNull(), "Evidence JSON is malformed")
         .when(version.isNull() | ~version.isin(*SUPPORTED_VERSIONS), F.concat(
             F.lit("Unsupported evidence schema version: "), F.coalesce(version, F.lit("undefined"))))
@@ -136,15 +178,20 @@ def scan_bundles(bundles: DataFrame) -> DataFrame:
     return parsed.withColumn("reject_reason", reason)
 
 
-def evidence_freshness(heads: DataFrame, artifacts: DataFrame, size_limit: int = 5_000_000) -> DataFrame:
-    """Per pull-request head the first unexpired artifact named after it: ``status`` fresh, oversized or missing."""
-    named = artifacts.filter("not expired").withColumn(
-        "head_sha", F.lower(F.regexp_extract("name", r"(?i)([0-9a-f]{40}(?:[0-9a-f]{24})?)", 1)))
-    first = named.filter("head_sha <> ''").groupBy("head_sha").agg(
-        F.min("artifact_id").alias("artifact_id"), F.min_by("size_bytes", "artifact_id").alias("size_bytes"))
+def evidence_freshness(heads: DataFrame, artifacts: DataFrame, size_limit: int | None = None) -> DataFrame:
+    """Per pull-request head the newest unexpired artifact that has it in its name: ``status`` fresh or missing.
+
+    Every object id in a name counts, base and head alike. Newest is by ``created_at`` where artifacts have it, then
+    by ``artifact_id``. With ``size_limit`` bytes, a larger artifact is ``oversized``.
+    """
+    ids = F.array_distinct(F.regexp_extract_all(F.lower("name"), F.lit(K.OBJECT_ID), F.lit(1)))
+    age = [F.col(c) for c in ("created_at", "artifact_id") if c in artifacts.columns]
+    first = artifacts.filter("not expired").select("*", F.explode(ids).alias("head_sha")).groupBy("head_sha").agg(
+        F.max_by(F.struct("artifact_id", "size_bytes"), F.struct(*age)).alias("newest")).select(
+        "head_sha", "newest.*")
     return heads.withColumn("head_sha", F.lower("head_sha")).join(first, "head_sha", "left").withColumn(
         "status", F.when(F.col("artifact_id").isNull(), "missing")
-        .when(F.col("size_bytes") > size_limit, "oversized").otherwise("fresh"))
+        .when(F.lit(False) if size_limit is None else F.col("size_bytes") > size_limit, "oversized").otherwise("fresh"))
 
 
 def extract_check_text(checks: DataFrame, check_name: str) -> DataFrame:

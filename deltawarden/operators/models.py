@@ -44,10 +44,18 @@ def model_ref_edges(model_sql: DataFrame) -> DataFrame:
 
 
 def affected_models(ref_edges: DataFrame, changed: DataFrame, **options) -> DataFrame:
-    """Changed models and everything that transitively refers to them: ``(root, name, degree)``.
+    """Per analysis its changed models and everything that transitively refers to one of them, once:
+    ``(analysis_id, name, degree)``, degree being the distance to the nearest changed model.
 
-    ``changed(root)``; the reader orders by its own manifest position.
+    ``changed(analysis_id, name)``; the reader orders by its own manifest position.
     """
-    reach = downstream_lineage(ref_edges, changed, depth=None, with_hops=False, **options)
-    start = changed.select("root", F.col("root").alias("name"), F.lit(0).alias("degree")).distinct()
-    return start.unionByName(reach.nodes.withColumnRenamed("urn", "name"))
+    starts = changed.select(F.col("analysis_id").alias("root"), F.col("name").alias("start"))
+    reach = downstream_lineage(ref_edges, starts, depth=None, with_hops=False, **options)
+    own = changed.select("analysis_id", "name", F.lit(0).alias("degree")).distinct()
+    return own.unionByName(reach.nodes.select(F.col("root").alias("analysis_id"), F.col("urn").alias("name"), "degree"))
+
+
+def skipped_models(affected: DataFrame, replayable: DataFrame) -> DataFrame:
+    """``(analysis_id, reason)`` for affected models that no replay covers; ``replayable(name)``."""
+    return affected.join(replayable.select("name").distinct(), "name", "left_anti").select(
+        "analysis_id", F.concat(F.lit("Model was not replayed: "), "name").alias("reason")).distinct()

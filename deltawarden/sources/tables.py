@@ -130,10 +130,16 @@ def read_typed_csv(spark: SparkSession, path: str, types: Mapping[str, str], str
         header=True, mode="FAILFAST", enforceSchema=False, quote="", escape="",
         ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True,
     ).csv(path)
-    has_quote = F.lit(False)
-    for name in header:
-        has_quote = has_quote | F.coalesce(F.col(quoted(name)).contains('"'), F.lit(False))
-    first = F.col(quoted(header[0]))
-    refused = F.when(has_quote, F.raise_error(F.lit("a CSV must not contain quoted fields")).cast("string"))
-    checked = rows.withColumn(header[0], F.coalesce(refused, first))
-    return parse_typed_text(checked, types, strict)
+    if rows.isEmpty():
+        raise ValueError("a CSV needs a header and at least one row")
+    # Texts go along beside the values, so that every cell of a row is judged in one filter: a filter is not pruned
+    # when a query reads few columns, or only counts.
+    texts = {f"text_{i}": F.col(quoted(name)) for i, name in enumerate(header)}
+    parsed = parse_typed_text(rows.withColumns(texts), {**types, **dict.fromkeys(texts, "VARCHAR")}, strict=False)
+    if not strict:
+        return parsed.drop(*texts)
+    has_quote = F.exists(F.array(*texts), lambda text: F.coalesce(text.contains('"'), F.lit(False)))
+    problem = F.when(has_quote, "a CSV must not contain quoted fields").when(F.size("violations") > 0, F.concat(
+        F.lit("values do not fit their columns: "), F.array_join("violations", ", ")))
+    sound = F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem).cast("boolean"))
+    return parsed.filter(sound).select(*[quoted(name) for name in header])

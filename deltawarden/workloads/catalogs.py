@@ -345,14 +345,15 @@ with recursive refs as materialized (
   select 'm_' || cast(cast(floor(o_orderkey / 3) as bigint) as varchar) as src, 'm_' || cast(o_orderkey as varchar) as dst from orders
   union select 'm_' || cast(cast(floor(o_orderkey / 7) as bigint) as varchar), 'm_' || cast(o_orderkey as varchar) from orders
   where o_orderkey % 2 = 0),
-walk(root, name, degree) as (
-  select 'm_' || cast(p_partkey as varchar), 'm_' || cast(p_partkey as varchar), 0 from part
-  union select w.root, r.dst, w.degree + 1 from walk w join refs r on r.src = w.name where r.dst <> w.root)
-select root, name, cast(min(degree) as integer) as degree from walk group by 1, 2""")
+walk(analysis_id, name, degree) as (
+  select 'a' || cast(cast(floor(p_partkey / 40) as bigint) as varchar), 'm_' || cast(p_partkey as varchar), 0 from part
+  union select w.analysis_id, r.dst, w.degree + 1 from walk w join refs r on r.src = w.name where r.dst <> w.name)
+select analysis_id, name, cast(min(degree) as integer) as degree from walk group by 1, 2""")
 def affected_models_query(spark, sf_dir):
     refs = model_ref_edges(derive(spark, sf_dir, MODEL_TEXTS))
     changed = table(spark, sf_dir, "part").select(
-        F.concat(F.lit("m_"), F.col("p_partkey").cast("string")).alias("root"))
+        F.concat(F.lit("a"), F.floor(F.col("p_partkey") / 40).cast("string")).alias("analysis_id"),
+        F.concat(F.lit("m_"), F.col("p_partkey").cast("string")).alias("name"))
     return affected_models(refs, changed)
 
 
@@ -427,15 +428,21 @@ def consumers_affected(spark, sf_dir):
 
 @query("merge_consumers", MATCHED + """
 , seen as (select c.*, 'asset_' || cast(ordinal % 3 as varchar) as asset from classified c)
-select analysis_id, asset as urn, bool_or(affected) as affected, cast(sum(match_count) as bigint) as match_count,
-       arg_max(name, ordinal) as name, arg_max(type, ordinal) as type,
+select s.analysis_id, asset as urn, bool_or(affected) as affected,
+       coalesce(any_value(m.n), 0) as match_count, arg_max(name, ordinal) as name, arg_max(type, ordinal) as type,
        coalesce(arg_max(reason, ordinal) filter (where affected), 'No changed column is referenced') as reason
-from seen group by 1, 2""")
+from seen s left join (
+  select a.analysis_id as id, a.asset as of_asset, count(distinct (m.dataset, m.col, m.kind)) as n
+  from matches m join seen a on a.analysis_id = m.analysis_id and a.urn = m.urn group by 1, 2) m
+on m.id = s.analysis_id and m.of_asset = s.asset group by 1, 2""")
 def merge_query(spark, sf_dir):
-    seen = classified(spark, sf_dir).withColumn(
-        "urn", F.concat(F.lit("asset_"), (F.col("ordinal") % 3).cast("string"))).withColumnRenamed(
+    given = consumers(spark, sf_dir)
+    matches = match_consumers(given, changes(spark, sf_dir))
+    asset = F.concat(F.lit("asset_"), (F.col("ordinal") % 3).cast("string"))
+    seen = classify_consumers(given, changes(spark, sf_dir), matches).withColumn("urn", asset).withColumnRenamed(
         "ordinal", "change_ordinal")
-    return merge_consumers(seen).select("analysis_id", "urn", "affected", "match_count", "name", "type", "reason")
+    of_asset = matches.join(given.select("analysis_id", "urn", "ordinal"), ["analysis_id", "urn"]).withColumn("urn", asset)
+    return merge_consumers(seen, of_asset).select("analysis_id", "urn", "affected", "match_count", "name", "type", "reason")
 
 
 @query("owner_routing", MATCHED + """

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from deltawarden.functions import sqltext as S
 from deltawarden.functions.safetext import evidence_text
-from deltawarden.operators.checks import file_summary, revision_violations, screen_sql
+from deltawarden.operators.checks import RevisionLimits, file_summary, revision_violations, screen_sql
 from deltawarden.operators.detect import dedupe_changes, detect_changes
 from deltawarden.session import settle
 from deltawarden.sources.revisions import scan_revisions
@@ -76,7 +76,8 @@ union all select distinct analysis_id, null, 'base_equals_head' from d where bas
 union all select analysis_id, null, 'too_many_files' from d group by 1 having count(*) > 100
 union all select analysis_id, null, 'total_too_large' from d group by 1 having sum(ob + oa) > 2000000""")
 def revision_validate(spark, sf_dir):
-    return revision_violations(with_texts(derive(spark, sf_dir, DEFECTIVE, heavy=True)))
+    limits = RevisionLimits(max_files=100, max_file_bytes=1_000_000, max_total_bytes=2_000_000)
+    return revision_violations(with_texts(derive(spark, sf_dir, DEFECTIVE, heavy=True)), limits)
 
 
 PATCHES = """
@@ -123,24 +124,24 @@ def consumer_identifiers(spark, sf_dir):
 
 @query("text_redaction", r"""
 select page_id, case when cut = '' then 'Unknown' else cut end as redacted from (
-  select page_id, substring(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
+  select page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(html,
     '```[\s\S]*?```', '[redacted code]', 'g'), '(?i)<script\b[^>]*>[\s\S]*?</script>', '[redacted code]', 'g'),
     '(?i)\b(?:ignore (?:all |any )?(?:previous|prior) instructions|system prompt|you are chatgpt)\b', '[redacted instruction]', 'g'),
     '[\x00-\x1f\x7f]', ' ', 'g'),
-    '^[\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+|[\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+$', '', 'g'), 1, 500) as cut
+    '^[\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+|[\s\x0b\x{00a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}\x{feff}]+$', '', 'g') as cut
   from pages) t""")
 def text_redaction(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", evidence_text(F.col("html")).alias("redacted"))
 
 
 @query("sql_sources", f"""
-select path, before as sql, 'stg_' || regexp_extract(before, 'stg_([0-9])', 1) as sources
-from ({SCANNED}) r where before <> ''
-union all select path, before, '' from ({SCANNED}) r where before = ''""")
+select path, side, text as sql, case when text = '' then '' else regexp_extract(text, '(?i)stg_[0-9]') end as sources
+from (select path, 'before' as side, before as text from ({SCANNED}) b union all select path, 'after', after from ({SCANNED}) a) r""")
 def sql_sources(spark, sf_dir):
-    return revisions(spark, sf_dir).select(
-        "path", F.col("before").alias("sql"),
-        F.array_join(S.source_datasets(F.col("before")), ",").alias("sources"))
+    sides = F.array(F.struct(F.lit("before").alias("side"), F.col("before").alias("sql")),
+                    F.struct(F.lit("after").alias("side"), F.col("after").alias("sql")))
+    return revisions(spark, sf_dir).select("path", F.inline(sides)).select(
+        "path", "side", "sql", F.array_join(S.source_datasets(F.col("sql")), ",").alias("sources"))
 
 
 SCREENED = """

@@ -394,7 +394,7 @@ def flagship(spark, sf_dir) -> DataFrame:
 with sizes as (select count(*) as n, max(octet_length(encode(customer_segment))) as widest from {ORACLE_LINES}),
      orders_size as (select count(*) as n, max(greatest(octet_length(encode(o_orderstatus)),
                      octet_length(encode(o_orderpriority)))) as widest from orders)
-select 'result' as "table", 'rows' as rule, cast(1000 as bigint) as bound, least(n, 1001) as observed, n > 1000 as breached from sizes
+select 'result' as "table", 'rows' as rule, cast(1000 as bigint) as bound, n as observed, n > 1000 as breached from sizes
 union all select 'result', 'columns', 100, 5, false
 union all select 'result', 'cell_bytes', 1000000, widest, widest > 1000000 from sizes
 union all select '*', 'tables', 8, 2, false
