@@ -171,7 +171,10 @@ class _Branch:
 
 
 def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int = 2000, width: int = 200) -> Packing:
-    """Branch and bound over the histogram of lengths."""
+    """Branch and bound over the histogram of lengths.
+
+    width: maximal fillings compared at a branch; a twelfth of them while more than 64 lengths are left.
+    """
     counts = {int(s): int(n) for s, n in counts.items() if n}
     if any(s < 1 or s > capacity for s in counts):
         raise ValueError("lengths must lie between 1 and the capacity")
@@ -186,6 +189,8 @@ def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int = 2000,
         if sum(m for m, _ in taken) < packing.sequences:
             packing = Packing(taken, False, bound, packing.nodes)
 
+    nodes, stack = 0, []
+
     def apply(branch: _Branch, filling: Filling) -> _Branch:
         """Use the filling as often as the largest piece and the filling's own pieces last."""
         largest = branch.largest
@@ -205,15 +210,17 @@ def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int = 2000,
         if not branch.counts:
             offer(branch.taken)
             return False
-        offer(branch.taken + best_fit(branch.counts, capacity))
+        # Completing a branch costs more than opening it: now and then in large ones, always in small ones.
+        if nodes & (nodes - 1) == 0 or len(branch.counts) <= 64:
+            offer(branch.taken + best_fit(branch.counts, capacity))
         branch.largest = max(branch.counts)
         rest = dict(branch.counts)
         rest[branch.largest] -= 1
         branch.choices = iter(fillings(
-            {s: n for s, n in rest.items() if n}, capacity - branch.largest, allowed - branch.waste, width))
+            {s: n for s, n in rest.items() if n}, capacity - branch.largest, allowed - branch.waste,
+            width if len(rest) <= 64 else max(1, width // 12)))
         return True
 
-    nodes, stack = 0, []
     allowed = (packing.sequences - 1) * capacity - total  # the waste of any better packing
     root = _Branch(counts, [], 0)
     if open_branch(root, allowed):

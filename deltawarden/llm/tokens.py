@@ -11,9 +11,16 @@ from functools import lru_cache
 
 import numpy as np
 
+# Marks that the tokenizer cuts off a letter or digit before them; an apostrophe may belong to a contraction.
+MARKS = "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+
 
 class WordIds(dict):
-    """Word to little-endian unsigned 32-bit ids. Two generations: words not seen for a generation are forgotten."""
+    """Word to little-endian unsigned 32-bit ids. Two generations: words not seen for a generation are forgotten.
+
+    A new word is looked up without the marks around it and in lower case (the tokenizer lower-cases) before it is
+    given to the tokenizer.
+    """
 
     def __init__(self, encode, limit: int, longest: int):
         super().__init__()
@@ -22,7 +29,7 @@ class WordIds(dict):
     def __missing__(self, word: str) -> bytes:
         ids = self.old.get(word)
         if ids is None:
-            ids = np.array(self.encode(word), "<u4").tobytes()
+            ids = self._of_parts(word) or np.array(self.encode(word), "<u4").tobytes()
         if len(word) <= self.longest:
             if len(self) >= self.limit:
                 self.old = dict(self)
@@ -31,8 +38,22 @@ class WordIds(dict):
         return ids
 
 
+    def _of_parts(self, word: str) -> bytes | None:
+        """The ids from those of simpler words, if the word is made of such; strings of special tokens are not."""
+        if "<|" in word:
+            return None
+        stem = word.rstrip(MARKS)
+        if stem and stem != word and stem[-1].isascii() and stem[-1].isalnum():
+            return self[stem] + self[word[len(stem):]]
+        stem = word.lstrip(MARKS)
+        if stem and stem != word and stem[0].isascii() and stem[0].isalnum():
+            return self[word[:len(word) - len(stem)]] + self[stem]
+        lower = word.encode().lower().decode()  # of bytes: A-Z only
+        return self[lower] if lower != word else None
+
+
 @lru_cache(maxsize=4)
-def word_ids(tokenizer: str, plain_specials: bool = False, limit: int = 300_000, longest: int = 64) -> WordIds:
+def word_ids(tokenizer: str, plain_specials: bool = False, limit: int = 500_000, longest: int = 64) -> WordIds:
     """tokenizer: path of a tokenizer file on the executors, or the name of an installed public one.
 
     plain_specials: the strings of special tokens in a text are ordinary text.

@@ -107,6 +107,12 @@ def test_ids_are_those_of_the_tokenizer(tokenizer):
     for text in TEXTS[1:]:
         want = tokenizer.encode(text, add_special_tokens=False).ids
         assert np.frombuffer(tokens.text_ids(text, table), "<u4").tolist() == want
+    r = random.Random(7)
+    alphabet = "abzA9'.,%(<|> -éÉß漢\u0301…½²_"
+    for _ in range(3000):
+        text = "".join(r.choice(alphabet) for _ in range(r.randint(1, 12)))
+        want = tokenizer.encode(text, add_special_tokens=False).ids
+        assert np.frombuffer(tokens.text_ids(text, table), "<u4").tolist() == want, text
     plain = tokens.word_ids("word_bpe_49k.json", plain_specials=True)
     assert 49407 not in np.frombuffer(tokens.text_ids("<|endoftext|> a<|endoftext|>b", plain), "<u4")
 
