@@ -1,4 +1,4 @@
-"""Every registered query next to its check SQL on the smallest tables."""
+"""Every query of the library's own registry next to its check SQL on the smallest tables."""
 
 from pathlib import Path
 
@@ -9,6 +9,7 @@ SF_DIR = Path("/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not SF_DIR.exists(), reason="no test tables")
 
 import __spark_entry__ as registered  # noqa: E402
+from deltawarden.workloads import registry  # noqa: E402
 from tools.verify import table  # noqa: E402
 
 
@@ -20,7 +21,7 @@ def database():
     return connection
 
 
-@pytest.mark.parametrize("name", sorted(registered.queries()))
+@pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, database, name):
     result = registered.queries()[name](spark, str(SF_DIR))
     cursor = database.execute(registered.oracle_sql()[name])
