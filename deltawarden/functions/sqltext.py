@@ -1,17 +1,10 @@
-"""Column functions over SQL text.
-
-All are built-in JVM expressions except :func:`split_select_list`, whose nesting
-depth no regular expression can count; that one is a small Arrow-batched helper
-fed with the select list only, never with the whole file.
-"""
+"""Column functions over SQL text. All are built-in JVM expressions."""
 
 from __future__ import annotations
 
 import re
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
-from pyspark.sql.functions import pandas_udf
+from pyspark.sql import Column, functions as F
 
 from deltawarden.functions import fixed as K
 
@@ -96,35 +89,26 @@ def select_list_text(sql: Column) -> Column:
     return F.regexp_extract(F.regexp_replace(sql, K.LINE_COMMENT, " "), SELECT_LIST, 1)
 
 
-def _comma_cutter():
-    """The cutter as a closure: it travels to the Python workers by value, so they need not have this package."""
-    marks = re.compile(r"""'[^']*(?:'|\Z)|"[^"]*(?:"|\Z)|`[^`]*(?:`|\Z)|[(),]""")
-    spaces = K.SPACES
-
-    def cut(text):
-        """Linear scan over quotes, brackets and commas; only commas at depth 0 cut."""
-        if not text:
-            return []
-        depth, start, pieces = 0, 0, []
-        for mark in marks.finditer(text):
-            symbol = mark.group()
-            if symbol == "(":
-                depth += 1
-            elif symbol == ")":
-                depth = depth - 1 if depth else 0
-            elif symbol == "," and depth == 0:
-                pieces.append(text[start:mark.start()])
-                start = mark.end()
-        pieces.append(text[start:])
-        return [piece for piece in (raw.strip(spaces) for raw in pieces) if piece]
+# A quoted text (closed or not), a bracket, a comma, or what stands between such marks.
+LIST_TOKEN = r"""'[^']*(?:'|\z)|"[^"]*(?:"|\z)|`[^`]*(?:`|\z)|[(),]|[^'"`(),]+"""
 
-    def cut_all(lists: pd.Series) -> pd.Series:
-        return lists.map(cut)
 
-    return cut, pandas_udf(cut_all, T.ArrayType(T.StringType()))
+def split_select_list(text: Column) -> Column:
+    """The entries of a list: cut at commas outside brackets and quotes, trimmed, empty ones left out."""
+    tokens = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(LIST_TOKEN), F.lit(0))
+    start = F.struct(F.lit(0).alias("depth"), F.lit("").alias("piece"),
+                     F.array().cast("array<string>").alias("pieces"))
 
+    def read(state: Column, token: Column) -> Column:
+        depth, cuts = state["depth"], (token == ",") & (state["depth"] == 0)
+        step = F.when(token == "(", 1).when((token == ")") & (depth > 0), -1).otherwise(0)
+        return F.struct(
+            (depth + step).alias("depth"),
+            F.when(cuts, "").otherwise(F.concat(state["piece"], token)).alias("piece"),
+            F.when(cuts, F.concat(state["pieces"], F.array(state["piece"]))).otherwise(state["pieces"]).alias("pieces"))
 
-cut_at_top_level_commas, split_select_list = _comma_cutter()
+    entries = F.aggregate(tokens, start, read, lambda s: F.concat(s["pieces"], F.array(s["piece"])))
+    return F.filter(F.transform(entries, lambda e: trim_spaces(e)), lambda e: e != "")
 
 
 def output_name(expression: Column) -> Column:

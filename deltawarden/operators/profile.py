@@ -7,7 +7,8 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from deltawarden.operators.quantile import exact_median
+from deltawarden.operators.quantile import bracket, medians_in_brackets
+from deltawarden.session import cut_lineage
 
 NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_]*\Z")
 _MEDIAN = re.compile(r"\s*median\s*\((?P<argument>.*)\)\s*\Z", re.IGNORECASE | re.DOTALL)
@@ -72,7 +73,8 @@ def profile_table(
     """Long profile ``(*keys, category, metric, num_value, text_value)``.
 
     Row count, every null rate, every metric and every distribution come from one
-    aggregate over one scan; only exact medians need their own narrow passes.
+    aggregate over one scan, the brackets of exact medians included; if there are medians, one more pass over the
+    data settles all of them.
     """
     keys = list(keys)
     columns = [c for c in df.columns if c not in keys]
@@ -89,6 +91,7 @@ def profile_table(
     for position, (category, name, expression) in enumerate(specs):
         argument = median_argument(expression)
         if argument is not None:
+            aggregates.append(bracket(F.expr(argument), accuracy).alias(f"__bounds_{len(medians)}"))
             medians.append((category, name, argument))
             continue
         aggregates.append(F.expr(expression).cast("double").alias(f"__value_{position}"))
@@ -96,13 +99,18 @@ def profile_table(
         rows.append(_row(category, name, value, F.lit(None)))
 
     one_row = df.groupBy(*[quoted(k) for k in keys]).agg(*aggregates)
-    profile = one_row.select(*keys, F.inline(F.array(*rows)))
-    for category, name, argument in medians:
-        value = exact_median(df, argument, keys, accuracy)
-        profile = profile.unionByName(
-            value.select(
-                *keys, F.lit(category).alias("category"), F.lit(name).alias("metric"),
-                finite(F.col("median"), name).alias("num_value"), F.lit(None).cast("string").alias("text_value"),
-            )
-        )
-    return profile
+    if not medians:
+        return one_row.select(*keys, F.inline(F.array(*rows)))
+    one_row = cut_lineage(one_row)
+    bounds = F.array(*[F.struct(
+        F.lit(i).alias("measure"), F.col(f"__bounds_{i}")[0].alias("lo"), F.col(f"__bounds_{i}")[1].alias("hi"))
+        for i in range(len(medians))])
+    brackets = cut_lineage(one_row.select(*keys, F.inline(bounds)))
+    middles = medians_in_brackets(df, [argument for *_, argument in medians], brackets, keys)
+
+    def named(position: int) -> Column:
+        return F.element_at(F.array(*[F.lit(m[position]) for m in medians]), F.col("measure") + 1)
+
+    return one_row.select(*keys, F.inline(F.array(*rows))).unionByName(middles.select(
+        *keys, named(0).alias("category"), named(1).alias("metric"), finite(F.col("median"), "MEDIAN").alias("num_value"),
+        F.lit(None).cast("string").alias("text_value")))

@@ -86,14 +86,16 @@ def test_dataset_marker(spark):
     ('"x,y", `p,q`, \'it\'\'s, so\'', ['"x,y"', "`p,q`", "'it''s, so'"]), ("'open, end", ["'open, end"]),
     (" , ,a", ["a"]), (None, []), ("", []), ("((a, b), c), d", ["((a, b), c)", "d"]),
 ])
-def test_top_level_commas(text, parts):
-    assert S.cut_at_top_level_commas(text) == parts
+def test_top_level_commas(spark, text, parts):
+    row = spark.createDataFrame([(text,)], "t string").select(S.split_select_list(F.col("t"))).first()
+    assert row[0] == parts
 
 
-def test_comma_cut_against_character_scan():
+def test_comma_cut_against_character_scan(spark):
     import random
 
     random.seed(3)
+    cases = {}
     for _ in range(3000):
         text = "".join(random.choice("a,() '\"`b") for _ in range(random.randint(0, 25)))
         depth, quote, current, parts = 0, None, "", []
@@ -112,7 +114,16 @@ def test_comma_cut_against_character_scan():
                 continue
             current += c
         parts.append(current)
-        assert S.cut_at_top_level_commas(text) == [p.strip() for p in parts if p.strip()]
+        cases[text] = [p.strip() for p in parts if p.strip()]
+    texts = spark.createDataFrame([(t,) for t in cases], "t string")
+    assert {r[0]: r[1] for r in texts.select("t", S.split_select_list(F.col("t"))).collect()} == cases
+
+
+def test_detection_stays_in_the_jvm(spark):
+    revisions = spark.createDataFrame([("a", "m.sql", "modified", "select a, f(b, ',') as c from t", "select a from t")],
+                                      "analysis_id string, path string, status string, before string, after string")
+    plan = detect_changes(revisions)._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
 
 
 def test_text_rules(spark):
