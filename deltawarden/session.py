@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import os
+import shutil
 import tempfile
 import uuid
 
@@ -37,12 +39,14 @@ def _configured_folder(spark: SparkSession) -> str | None:
 def local_scratch(spark: SparkSession) -> None:
     """Name a checkpoint folder for a session that runs in one process and has none.
 
-    For entry points and tests. On a cluster, ``spark.checkpoint.dir`` must name a folder all executors share.
+    For entry points and tests; the folder goes when the process ends. On a cluster, ``spark.checkpoint.dir`` must name a folder all executors share.
     """
     context = spark.sparkContext
     in_process = context.master == "local" or context.master.startswith("local[")
     if in_process and not _configured_folder(spark):
-        context.setCheckpointDir(f"{tempfile.gettempdir()}/deltawarden-{os.getpid()}")
+        folder = f"{tempfile.gettempdir()}/deltawarden-{os.getpid()}"
+        context.setCheckpointDir(folder)
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
 
 
 def scratch_root(spark: SparkSession) -> str:

@@ -21,6 +21,14 @@ def database():
     return connection
 
 
+@pytest.fixture(autouse=True)
+def compiled(spark):
+    """Queries run as they are shipped, with generated code; other tests do without to start faster."""
+    spark.conf.set("spark.sql.codegen.wholeStage", "true")
+    yield
+    spark.conf.set("spark.sql.codegen.wholeStage", "false")
+
+
 @pytest.mark.parametrize("name", sorted(registry.QUERIES))
 def test_query(spark, database, name):
     result = registered.queries()[name](spark, str(SF_DIR))
