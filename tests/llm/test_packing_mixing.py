@@ -222,7 +222,9 @@ def test_pipeline_stages(spark, tokenizer):
     words = [clean[i].split() for i in range(10, 15)]
     rows += [(300 + i, " ".join([*w, "extra"]), "en", "s1", 0) for i, w in enumerate(words)]
     rows += [(400, "spam " * 500, "en", None, 0), (401, None, None, None, None), (402, "too short", "en", "s0", 0)]
-    docs = spark.createDataFrame(rows, SCHEMA)
+    docs = spark.createDataFrame(rows, SCHEMA).withColumns({
+        "copies": F.lit("x"), "Verdict": F.lit(None).cast("string"), "whole": F.lit(1), "bits": F.lit(2),
+        "size": F.lit(None).cast("int"), "goal_key": F.lit("k"), "norm": F.lit("n"), "row_id": F.lit(0)})
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality", "exact", "near", "mix", "pack"]
     stages = dict(corpus_pipeline.STAGES)
     good = stages["quality"](spark, docs, "")
