@@ -124,7 +124,8 @@ def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 
 def anchored_runs(rows: DataFrame, rules: PassageRules, hot: np.ndarray) -> DataFrame:
-    """doc_id, text_key, first, windows, anchor, content: one row per run; no text goes further."""
+    """doc_id, text_key, firsts, windows, anchor, content: one row per different run of a document, with the places it
+    starts at; no text goes further."""
     key = rows.schema["doc_id"].dataType.simpleString()
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -140,15 +141,25 @@ def anchored_runs(rows: DataFrame, rules: PassageRules, hot: np.ndarray) -> Data
             if not parts:
                 continue
             first, windows, anchor, content = (np.concatenate(c) for c in zip(*parts, strict=True))
+            of_row = np.concatenate(index)
+            # A text that repeats itself has one run many times: these become one row.
+            order = np.lexsort((first, content, anchor, of_row))
+            same_run = np.ones(len(order), bool)
+            for values in (of_row, anchor, content):
+                same_run[1:] &= values[order][1:] == values[order][:-1]
+            same_run[0] = False
+            start = np.flatnonzero(~same_run)
+            at = order[start]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(np.concatenate(index))),
-                 pa.array(np.concatenate(keys)), pa.array(first.astype(np.int32)),
-                 pa.array(windows.astype(np.int32)), pa.array(anchor.view(np.int64)),
-                 pa.array(content.view(np.int64))],
-                ["doc_id", "text_key", "first", "windows", "anchor", "content"])
+                [batch.column(0).take(pa.array(of_row[at])), pa.array(np.concatenate(keys)[at]),
+                 pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()),
+                                          pa.array(first[order].astype(np.int32))),
+                 pa.array(windows[at].astype(np.int32)), pa.array(anchor[at].view(np.int64)),
+                 pa.array(content[at].view(np.int64))],
+                ["doc_id", "text_key", "firsts", "windows", "anchor", "content"])
 
     return rows.select("doc_id", "text").mapInArrow(
-        work, f"doc_id {key}, text_key bigint, first int, windows int, anchor bigint, content bigint")
+        work, f"doc_id {key}, text_key bigint, firsts array<int>, windows int, anchor bigint, content bigint")
 
 
 def crowded_anchors(rows: DataFrame, rules: PassageRules) -> np.ndarray:
@@ -206,12 +217,13 @@ def repeated_spans(rows: DataFrame, rules: PassageRules) -> DataFrame:
     """
     hot = crowded_anchors(rows, rules)
     found = anchored_runs(rows, rules, hot)
-    together = F.count(F.lit(1)).over(Window.partitionBy("anchor"))
+    together = F.sum(F.size("firsts")).over(Window.partitionBy("anchor"))
     shared = cut_lineage(found.withColumn("together", together).where("together > 1").drop("together"))
 
     # Each distinct run once, from the first document that has it.
     distinct = shared.groupBy("anchor", "content").agg(
-        F.count(F.lit(1)).alias("weight"), F.min(F.struct("doc_id", "text_key", "first", "windows")).alias("at"))
+        F.sum(F.size("firsts")).alias("weight"),
+        F.min(F.struct("doc_id", "text_key", F.get("firsts", F.lit(0)).alias("first"), "windows")).alias("at"))
     distinct = cut_lineage(distinct.select("anchor", "content", "weight", "at.*"))
     total = distinct.agg(F.sum(F.col("windows") + F.lit(rules.window - 1))).first()[0] or 0
     shards = max(1, math.ceil(total / rules.shard_words))
@@ -242,7 +254,8 @@ def repeated_spans(rows: DataFrame, rules: PassageRules) -> DataFrame:
     results = cut_lineage(pieces.groupBy("shard").applyInArrow(
         lambda t: search_shard(t, rules), "anchor bigint, content bigint, spans array<int>"))
     # Window starts of a run become words of the document: the last window of a span reaches window - 1 words on.
-    placed = F.transform("spans", lambda s, i: s + F.col("first") + F.when(i % 2 == 1, rules.window - 1).otherwise(0))
+    placed = F.flatten(F.transform("firsts", lambda first: F.transform("spans", lambda s, i: (
+        s + first + F.when(i % 2 == 1, rules.window - 1).otherwise(0)))))
     return shared.join(results, ["anchor", "content"]).select("doc_id", "text_key", placed.alias("spans")).groupBy(
         "doc_id", "text_key").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
