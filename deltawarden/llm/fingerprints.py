@@ -130,7 +130,8 @@ def equality_classes(docs: DataFrame, prints: DataFrame, rules: Polynomials = Po
     prints must be a written table. Only texts that share a fingerprint are read again.
     """
     key = ["n_bytes", "fingerprint"]
-    shared = prints.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key)
+    # Written, so that the join deals prints out anew and can split a fingerprint that very many rows share.
+    shared = cut_lineage(prints.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select(*key))
     members = prints.join(shared, key).select(
         F.col("doc_id").alias("member_id"), "content_key", *key).distinct()
     norm = F.translate(whole_text(docs, text), WHITE, "")
@@ -165,7 +166,8 @@ def deduplicate(docs: DataFrame, rules: Polynomials = Polynomials(), doc_id: str
     classed = equality_classes(docs, prints, rules, doc_id, text)
     key = ["n_bytes", "fingerprint", "content_class"]
     rank = F.struct((-F.col("n_chars")).alias("fewer"), F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_id")
-    keepers = classed.groupBy(*key).agg(F.min(rank).alias("keeper"), F.count(F.lit(1)).alias("group_size"))
+    keepers = cut_lineage(classed.groupBy(*key).agg(
+        F.min(rank).alias("keeper"), F.count(F.lit(1)).alias("group_size")))
     right = keepers.select(*[F.col(c).alias(f"k_{c}") for c in key], "keeper", "group_size")
     joined = classed.join(right, (F.col("n_bytes") == F.col("k_n_bytes"))
                           & (F.col("fingerprint") == F.col("k_fingerprint"))
