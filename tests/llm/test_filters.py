@@ -88,6 +88,27 @@ def test_bands_reject_noise_and_repetition_without_base_failure():
     assert judge(half) == ("repetitive_chunks", False)
 
 
+def test_bands_tell_labelled_texts_apart():
+    """Texts that pass the base rules: all of quality 1 stay, and the method itself rejects most of the others."""
+    import pyarrow.parquet as pq
+
+    folder, rules = "/root/testdata/sf0.01", compression.CompressionRules()
+    packer = zstandard.ZstdCompressor(level=3)
+    quality = {r["doc_id"]: r["quality"] for r in pq.read_table(f"{folder}/labels.parquet").to_pylist()}
+    kept = {0: [], 1: []}
+    symbols = []
+    for row in pq.read_table(f"{folder}/documents.parquet").to_pylist():
+        text = row["text"] or ""
+        v = compression.judge_text(text, text.encode(), len(text), rules, packer)
+        if not v[5] and row["doc_id"] in quality:
+            kept[quality[row["doc_id"]]].append(v[-1])
+        if not v[5] and v[2] > 2 * v[0] and len(text.encode()) >= 2048:
+            symbols.append(v[-1])
+    assert len(kept[1]) > 300 and all(kept[1])
+    assert len(kept[0]) > 20 and 2 * sum(kept[0]) < len(kept[0])
+    assert len(symbols) > 5 and 4 * sum(symbols) < len(symbols)
+
+
 def test_huge_vocabulary_windows():
     words = [str(i % 2_000_003).encode() for i in range(2_000_010)]
     assert compression.repeated_words(words) == 14
