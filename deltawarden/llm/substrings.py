@@ -18,8 +18,8 @@ their own. Null doc_ids are documents like others. An empty table gives an empty
 
 from __future__ import annotations
 
+import hashlib
 import math
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import compress
@@ -116,7 +116,8 @@ def runs(words: list[bytes], rules: PassageRules, hot: np.ndarray) -> tuple[np.n
 
 
 def _text_key(text: Column) -> Column:
-    return F.crc32(text.cast("binary"))
+    """128 bits of a text: many different texts may come without a doc_id, and none may be taken for another."""
+    return F.unhex(F.substring(F.sha2(text.cast("binary"), 256), 1, 32))
 
 
 def _rows(docs: DataFrame, doc_id: str, text: str) -> DataFrame:
@@ -130,13 +131,14 @@ def anchored_runs(rows: DataFrame, rules: PassageRules, hot: np.ndarray) -> Data
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            index, keys, parts = [], [], []
+            index, keys, row_of, parts = [], [], [], []
             for i, item in enumerate(batch.column(1).cast(pa.binary())):
                 data = item.as_buffer().to_pybytes()
                 found = runs(data.split(), rules, hot)
                 if len(found[0]):
                     index.append(np.full(len(found[0]), i))
-                    keys.append(np.full(len(found[0]), zlib.crc32(data), np.int64))
+                    keys.append(hashlib.sha256(data).digest()[:16])
+                    row_of.append(np.full(len(found[0]), len(keys) - 1))
                     parts.append(found)
             if not parts:
                 continue
@@ -151,7 +153,7 @@ def anchored_runs(rows: DataFrame, rules: PassageRules, hot: np.ndarray) -> Data
             start = np.flatnonzero(~same_run)
             at = order[start]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(of_row[at])), pa.array(np.concatenate(keys)[at]),
+                [batch.column(0).take(pa.array(of_row[at])), pa.array(keys, pa.binary()).take(pa.array(np.concatenate(row_of)[at])),
                  pa.ListArray.from_arrays(pa.array(np.append(start, len(order)), pa.int32()),
                                           pa.array(first[order].astype(np.int32))),
                  pa.array(windows[at].astype(np.int32)), pa.array(anchor[at].view(np.int64)),
@@ -159,7 +161,7 @@ def anchored_runs(rows: DataFrame, rules: PassageRules, hot: np.ndarray) -> Data
                 ["doc_id", "text_key", "firsts", "windows", "anchor", "content"])
 
     return rows.select("doc_id", "text").mapInArrow(
-        work, f"doc_id {key}, text_key bigint, firsts array<int>, windows int, anchor bigint, content bigint")
+        work, f"doc_id {key}, text_key binary, firsts array<int>, windows int, anchor bigint, content bigint")
 
 
 def crowded_anchors(rows: DataFrame, rules: PassageRules) -> np.ndarray:

@@ -106,6 +106,29 @@ def test_passages(spark, rules):
         sorted([(row[0], *w) for row, w in zip(rows, want)], key=str)
 
 
+def test_texts_without_id_that_share_a_checksum(spark):
+    """Two different texts with one crc32 and no doc_id: each keeps its own words."""
+    import zlib
+
+    r = random.Random(2)
+    passage = " ".join(f"p{r.randint(0, 10**6)}" for _ in range(50))
+    long_one = " ".join(f"u{i}" for i in range(60)) + " " + passage
+    want, seen, k = zlib.crc32(b"other words here "), {}, 0
+    start = zlib.crc32(long_one.encode() + b" ")
+    while True:  # a pair of endings that gives both texts one checksum
+        ending = f"{k:x}"
+        seen[zlib.crc32(ending.encode(), start)] = ending
+        found = seen.get(zlib.crc32(ending.encode(), want))
+        if found:
+            break
+        k += 1
+    texts = [f"{long_one} {found}", f"other words here {ending}", passage + " tail"]
+    assert zlib.crc32(texts[0].encode()) == zlib.crc32(texts[1].encode())
+    rows = [(None, t, "", "") for t in texts]
+    got = substrings.without_repeats(spark.createDataFrame(rows, SCHEMA)).collect()
+    assert sorted((r.n_words, r.n_removed, bytes(r.kept_text).decode()) for r in got) == sorted(brute(texts, 35))
+
+
 def test_empty_table_and_no_repeats(spark):
     assert substrings.without_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
     alone = substrings.without_repeats(spark.createDataFrame([(1, "a b c", "", "")], SCHEMA)).collect()
