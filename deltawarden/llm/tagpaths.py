@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from html.parser import HTMLParser
@@ -36,7 +37,9 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 SILENT = frozenset((
     "applet audio button canvas datalist embed head iframe input math noembed noframes noscript object option progress "
     "script select style svg template textarea title video").split())
-ASIDE = frozenset("aside dialog footer form menu nav".split())
+ASIDE = frozenset("aside dialog footer menu nav".split())
+IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
+END_TAG = re.compile(r"</([a-z]+)")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 ENDS_BEFORE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                "td": {"td", "th"}, "th": {"td", "th"}}
@@ -73,7 +76,8 @@ class Element:
     parent: int
     path: str
     block: bool
-    mark: str = ""  # why it is no content: "tag", "name", "comment"
+    mark: str = ""  # why it is no content: "tag", "wrap" (a form or hidden), "name", "comment", "header"
+    own: bool = False  # whether the mark is its own and not that of an element around it
     main: bool = False
     holds_main: bool = False  # an article, the main part or the first heading
     holds_top: bool = False  # the main part or the first heading; comments can be articles, too
@@ -91,8 +95,10 @@ class Block:
 class PageReader(HTMLParser):
     """Elements and text blocks of a page, in page order."""
 
-    def __init__(self):
+    def __init__(self, html: str = ""):
         super().__init__(convert_charrefs=True)
+        # End tags to come: a silent element that none of them can close holds nothing.
+        self.ends = Counter(END_TAG.findall(html.lower()))
         self.elements = [Element("#root", -1, "", True)]
         self.stack = [0]
         self.silent: list[str] = []
@@ -101,17 +107,14 @@ class PageReader(HTMLParser):
         self.current: Block | None = None
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
+        if self.silent == ["head"] and tag not in IN_HEAD and tag != "head":
+            self.silent.clear()  # a head ends before the first tag that cannot stand in it
         if self.silent:
-            if tag not in VOID and tag == self.silent[-1]:
+            if tag not in VOID and (tag not in SILENT or self.ends[tag] > 0):
                 self.silent.append(tag)
-            elif tag == "body" and self.silent[-1] == "head":
-                self.silent.clear()
-            else:
-                return
-            if self.silent:
-                return
+            return
         if tag in SILENT:
-            if tag not in VOID:
+            if tag not in VOID and (tag == "head" or self.ends[tag] > 0):
                 self.silent.append(tag)
             return
         if tag in VOID:
@@ -126,8 +129,8 @@ class PageReader(HTMLParser):
         parent = self.stack[-1]
         above = self.elements[parent]
         element = Element(tag, parent, f"{above.path}/{tag}" if block else above.path, block, above.mark,
-                          above.main)
-        if not element.mark or attrs:
+                          main=above.main)
+        if element.mark in ("", "wrap") or attrs:
             self._mark(element, dict(attrs))
         if element.tag in ("article", "main") or tag == "h1":
             top, up = element.tag != "article", parent
@@ -143,16 +146,21 @@ class PageReader(HTMLParser):
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
         parts = {p.lower() for p in NAME_PARTS.findall(names)} if names.strip() else set()
         if element.mark != "comment" and parts & COMMENTS and tag not in ("body", "html"):
-            element.mark = "comment"
-        if element.mark:
+            element.mark, element.own = "comment", True
+        if element.mark not in ("", "wrap"):
             return
-        if tag in ASIDE or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (
-                attrs.get("role") or "").lower() in ROLES or NOT_SHOWN.search(attrs.get("style") or ""):
-            element.mark = "tag"
+        role, own = (attrs.get("role") or "").lower(), ""
+        if tag in ASIDE or role in ROLES and role != "form":
+            own = "tag"
+        elif tag == "form" or role == "form" or "hidden" in attrs or attrs.get("aria-hidden") == "true" or (
+                NOT_SHOWN.search(attrs.get("style") or "")):
+            own = "wrap"
         elif parts & MARKED and tag not in ("body", "html", "main"):
-            element.mark = "name"
+            own = "name"
         elif tag == "header":
-            element.mark = "header"  # of the page, or of an article: then its headings count
+            own = "header"  # of the page, or of an article: then its headings count
+        if own:
+            element.mark, element.own = own, True
         if tag in ("article", "main") or attrs.get("itemprop") == "articleBody" or attrs.get("role") == "main":
             element.main = True
 
@@ -185,10 +193,14 @@ class PageReader(HTMLParser):
         del self.stack[depth:]
 
     def handle_endtag(self, tag: str) -> None:
+        self.ends[tag] -= 1
         if self.silent:
-            if tag == self.silent[-1]:
-                self.silent.pop()
-            return
+            if tag in self.silent:
+                del self.silent[len(self.silent) - 1 - self.silent[::-1].index(tag):]
+                return
+            if not any(self.elements[at].tag == tag for at in self.stack[1:]):
+                return
+            self.silent.clear()  # the end of an element around ends what was left open inside
         if tag == "br":
             self._break(hard=False)
             return
@@ -201,6 +213,8 @@ class PageReader(HTMLParser):
                 return  # an inline end tag does not reach out of its cell
 
     def handle_data(self, data: str) -> None:
+        if self.silent == ["head"] and data.strip():
+            self.silent.clear()
         if self.silent:
             return
         if self.current is None:
@@ -212,8 +226,11 @@ class PageReader(HTMLParser):
             # Inline parts with a mark of their own, such as a hidden span, are blocks of their own.
             self.current = Block(at)
             self.blocks.append(self.current)
-        if self.elements[self.stack[-1]].mark and not self.elements[self.current.element].mark:
-            return
+        at = self.stack[-1]
+        while at > self.current.element:
+            if self.elements[at].own:
+                return
+            at = self.elements[at].parent
         self.current.parts.append(data)
         if self.links:
             self.current.linked += len(data)
@@ -265,7 +282,7 @@ def content_paths(blocks: list[Block], elements: list[Element], rules: PathRules
 
 def extract(html: str, rules: PathRules = PathRules()) -> str:
     """The main text of one page."""
-    reader = PageReader()
+    reader = PageReader(html)
     try:
         reader.feed(html)
         reader.close()
@@ -289,10 +306,10 @@ def extract(html: str, rules: PathRules = PathRules()) -> str:
         heading = elements[at].tag in HEADINGS
         while at > 0:
             e = elements[at]
-            own = e.mark and elements[e.parent].mark != e.mark
+            own = e.own
             if own and e.mark in ("tag", "comment") and not (e.mark == "comment" and e.holds_top):
                 return True
-            if own and e.mark == "name" and not e.holds_main and 2 * e.text <= total:
+            if own and e.mark in ("name", "wrap") and not e.holds_main and 2 * e.text <= total:
                 return True
             if own and e.mark == "header" and not (heading and elements[e.parent].main):
                 return True
@@ -317,7 +334,7 @@ def extract(html: str, rules: PathRules = PathRules()) -> str:
     whole = weight[0]
     # The main element with the most selected text, the innermost of equals; else the deepest that holds most of it.
     named = [at for at in weight if elements[at].main and (elements[at].tag in ("article", "main") or not elements[
-        elements[at].parent].main) and not elements[at].mark]
+        elements[at].parent].main) and elements[at].mark in ("", "wrap")]
     if named:
         best = max(weight[at] for at in named)
         root = max(at for at in named if 10 * weight[at] >= 9 * best)

@@ -111,6 +111,23 @@ def test_pages(name):
         assert got == spelled(want)
 
 
+@pytest.mark.parametrize("html", [
+    f"<meta charset=utf-8><title>T</title><article><h1>Head</h1><p>{LONG}</p></article>",
+    f"<html><head><title>T</title><style>p{{}}</style><article><h1>Head</h1><p>{LONG}</p></article>",
+    f"<head><noscript><img src=a></noscript><meta name=a><article><h1>Head</h1><p>{LONG}</p></article>",
+    *[f"<body><div><{tag}>inner</div><article><h1>Head</h1><p>{LONG}</p></article>" for tag in (
+        "button", "select", "object", "audio", "canvas", "noscript")],
+    *[f"<body><{tag}><article><h1>Head</h1><p>{LONG}</p></article></body>" for tag in (
+        "button", "select", "object", "audio", "canvas", "noscript")],
+    f"<div><button><div>a</div>b</button><select><option>c</select></div><main><h1>Head</h1><p>{LONG}</p></main>",
+    f"<body><form action=x><nav><a href=a>Home</a></nav><article><h1>Head</h1><p>{LONG}</p><p hidden>no</p></article></form>",
+    f"<form><div role=main><h1>Head</h1><p>{LONG}<span hidden>no</span></p></div><div class=sidebar>{LONG[:40]}</div></form>",
+    f"<div style='display:none'><article><h1>Head</h1><p>{LONG}</p></article></div>"])
+def test_real_markup_loses_no_page(html):
+    got = tagpaths.extract(html).split("\n")
+    assert [x for x in got if x != "inner"] == spelled(["Head", LONG]).split("\n")
+
+
 def test_page_table(spark):
     rows = [(i, "u", html, "t") for i, (html, _) in enumerate(PAGES.values())] + [(None, None, None, None), (0, "u", "", "t")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
