@@ -6,7 +6,8 @@ summed per path and divided by its number of blocks. The ratios are smoothed ove
 into one score, and paths that stay above a threshold from the spread of the scores carry the content. A short
 paragraph is kept with the path of the long ones. What page authors mark as something else (menus, headers, footers,
 sidebars, notices, adverts, forms, comments, hidden parts) is left out before paths are judged. The element that holds
-the content is then taken whole, with its headings, lists and tables.
+the content is then taken: its blocks on chosen paths; its lists, tables, quotations and figures whose linked text is
+at most half of their text, each as a whole; and its headings, but for one that mostly linked text follows.
 
 Defined results: a null or empty page, or one without text, has an empty text; broken markup is read as far as it
 goes; repeated rows are extracted each on its own. White space inside a block becomes one space, blocks are joined by
@@ -41,6 +42,7 @@ ASIDE = frozenset("aside dialog footer menu nav".split())
 IN_HEAD = frozenset("base basefont bgsound link meta noframes noscript script style template title".split())
 END_TAG = re.compile(r"</([a-z]+)")
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+UNITS = frozenset("blockquote dir dl figure menu ol pre table ul".split())
 ENDS_BEFORE = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
                "td": {"td", "th"}, "th": {"td", "th"}}
 ENDS_INSIDE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"},
@@ -63,7 +65,7 @@ NOT_SHOWN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 @dataclass(frozen=True)
 class PathRules:
     """spread: width of the Gaussian in blocks. threshold: a path's score must reach this share of the deviation of
-    all scores. linked: the most linked text, as a share, of a block outside the main element."""
+    all scores. linked: the most linked text, as a share, of what stays without its path being chosen."""
 
     spread: float = 1.0
     threshold: float = 0.6
@@ -280,6 +282,34 @@ def content_paths(blocks: list[Block], elements: list[Element], rules: PathRules
         max(mean, key=lambda p: (mean[p], paths[p][1]))}
 
 
+def main_blocks(blocks: list[Block], elements: list[Element], root: int, chosen: set[str],
+                rules: PathRules) -> list[Block]:
+    """What stays of the blocks of the main element: see the head of this module."""
+    units, sums = [], {}
+    for b in blocks:
+        unit, at = -1, b.element
+        while at > root:  # the outermost list, table, quotation or figure
+            unit = at if elements[at].tag in UNITS else unit
+            at = elements[at].parent
+        units.append(unit)
+        total = sums.setdefault(unit, [0, 0])
+        total[0] += len(b.text)
+        total[1] += min(b.linked, len(b.text))
+    keep = [elements[b.element].path in chosen or (
+        unit >= 0 and sums[unit][1] <= rules.linked * sums[unit][0]) for b, unit in zip(blocks, units, strict=True)]
+    linked = True  # whether mostly linked text, or nothing, follows
+    for i in range(len(blocks) - 1, -1, -1):
+        b = blocks[i]
+        block_linked = b.linked > rules.linked * len(b.text)
+        if elements[b.element].tag in HEADINGS and units[i] < 0:
+            keep[i] = keep[i] or elements[b.element].tag == "h1" or not (linked or block_linked)
+        elif keep[i]:
+            linked = False
+        elif block_linked:
+            linked = True
+    return [b for b, stays in zip(blocks, keep, strict=True) if stays]
+
+
 def extract(html: str, rules: PathRules = PathRules()) -> str:
     """The main text of one page."""
     reader = PageReader(html)
@@ -339,7 +369,8 @@ def extract(html: str, rules: PathRules = PathRules()) -> str:
         best = max(weight[at] for at in named)
         root = max(at for at in named if 10 * weight[at] >= 9 * best)
         if 4 * weight[root] >= whole:
-            return "\n".join(b.text for b in open_blocks if _inside(elements, b.element, root))
+            inside = [b for b in open_blocks if _inside(elements, b.element, root)]
+            return "\n".join(b.text for b in main_blocks(inside, elements, root, chosen, rules))
     root = max((at for at in weight if 10 * weight[at] >= 9 * whole and elements[at].block), default=0)
     inside = [b for b in open_blocks if _inside(elements, b.element, root)]
     keep = [elements[b.element].path in chosen for b in inside]

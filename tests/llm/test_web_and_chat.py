@@ -128,6 +128,16 @@ def test_real_markup_loses_no_page(html):
     assert [x for x in got if x != "inner"] == spelled(["Head", LONG]).split("\n")
 
 
+def test_unmarked_parts_of_an_article_are_judged_by_path():
+    html = f"""<body><article><h1>Head</h1><p>{LONG}</p>
+        <h2>Part</h2><p>{LONG}</p><ul><li>One thing<li>Another <a href=a>thing</a></ul><table><tr><td>c1<td>c2</table>
+        <h3>Read also</h3><ul><li><a href=1>That story</a><li><a href=2>This story</a></ul>
+        <section><div>Buy this now</div><div><a href=3>More of it</a></div></section><ul><li><a href=4>Old story</a></ul>
+        <h2>End</h2><p>Tiny.</p></article></body>"""
+    assert tagpaths.extract(html) == spelled(
+        ["Head", LONG, "Part", LONG, "One thing", "Another thing", "c1", "c2", "End", "Tiny."])
+
+
 def test_page_table(spark):
     rows = [(i, "u", html, "t") for i, (html, _) in enumerate(PAGES.values())] + [(None, None, None, None), (0, "u", "", "t")]
     pages = spark.createDataFrame(rows, "page_id bigint, url string, html string, text string")
