@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 # The white space that separates words, as single bytes and as a pattern for a word.
@@ -29,3 +31,14 @@ def same(left: Column, right: Column) -> Column:
 
 def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def slices(data: bytes, size: int = 1 << 22, end: bytes = b" ") -> Iterator[bytes]:
+    """The data in pieces of about ``size`` bytes that end before an ``end`` byte, which goes; none is cut inside a
+    word however long. Lists of words made from them stay small for texts of any length."""
+    start = 0
+    while start < len(data):
+        stop = data.find(end, start + size)
+        stop = len(data) if stop < 0 else stop
+        yield data[start:stop]
+        start = stop + 1

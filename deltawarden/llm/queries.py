@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltawarden.llm import (
-    compression, fingerprints, mixing, packing, preferences, revisits, separators, simhash, substrings, tagpaths)
+    compression, fingerprints, mixing, packing, preferences, revisits, separators, simhash, substrings, subwords,
+    tagpaths)
 from deltawarden.llm.common import table
 from deltawarden.llm.oracles import ORACLES  # noqa: F401 - registered with the queries
 from deltawarden.session import scratch_path
@@ -125,7 +126,13 @@ def op10_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op13_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return subwords.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
-        op1_revisit_resolution, op2_tag_path_ratios, op3_compression_bands, op4_bin_completion, op5_fm_index, op6_polynomial_fingerprints, op7_target_weights, op8_separator_scan, op9_preference_pairs, op10_vantage_tree)
+        op1_revisit_resolution, op2_tag_path_ratios, op3_compression_bands, op4_bin_completion, op5_fm_index,
+        op6_polynomial_fingerprints, op7_target_weights, op8_separator_scan, op9_preference_pairs, op10_vantage_tree,
+        op13_subword_quality)
 }
