@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltawarden.llm import (
-    compression, fingerprints, mixing, packing, preferences, revisits, separators, simhash, substrings, subwords,
-    tagpaths)
+    compression, fingerprints, mixing, negatives, packing, preferences, revisits, separators, simhash, substrings,
+    subwords, tagpaths)
 from deltawarden.llm.common import table
 from deltawarden.llm.oracles import ORACLES  # noqa: F401 - registered with the queries
 from deltawarden.session import scratch_path
@@ -126,6 +126,12 @@ def op10_vantage_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select("doc_id", digits.alias("fingerprint"), "component_id")
 
 
+def op11_range_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    label = F.when(F.pmod("vec_id", F.lit(7)) == 0, F.pmod(F.col("label") + 1, F.lit(10))).otherwise(F.col("label"))
+    return negatives.hard_negatives(negatives.quantised(rows.withColumn("label", label)))
+
+
 def op13_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -134,5 +140,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_revisit_resolution, op2_tag_path_ratios, op3_compression_bands, op4_bin_completion, op5_fm_index,
         op6_polynomial_fingerprints, op7_target_weights, op8_separator_scan, op9_preference_pairs, op10_vantage_tree,
-        op13_subword_quality)
+        op11_range_tree_negatives, op13_subword_quality)
 }
