@@ -166,3 +166,46 @@ WHERE NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * po
 WINDOW place AS (PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id)
 QUALIFY rank <= 3
 """
+
+# All n-grams of up to three words; a piece ends at punctuation and line ends.
+ORACLES["op12_misra_gries_phrases"] = r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), lists AS (
+    SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM pieces
+), sized AS (
+    SELECT lang, w, unnest(range(1, 4)) AS n FROM lists
+), grams AS (
+    SELECT lang, n, unnest(list_transform(range(1, len(w) - n + 2),
+                                          lambda i: array_to_string(w[i:i + n - 1], ' '))) AS phrase
+    FROM sized WHERE len(w) >= n
+), counts AS (
+    SELECT lang, n, phrase, count(*) AS f FROM grams GROUP BY ALL
+), totals AS (
+    SELECT lang, sum(f)::BIGINT AS n FROM counts WHERE n = 1 GROUP BY lang
+), cuts AS (
+    SELECT lang, n, phrase, f AS a, k, array_to_string(string_split(phrase, ' ')[1:k], ' ') AS head,
+           array_to_string(string_split(phrase, ' ')[k + 1:], ' ') AS rest
+    FROM (SELECT *, unnest(range(1, n)) AS k FROM counts WHERE n > 1 AND f >= 10)
+), scored AS (
+    SELECT cuts.*, h.f AS l, t.f AS r,
+           ((1000000::HUGEINT * a * a) // (h.f::HUGEINT * t.f))::BIGINT AS score
+    FROM cuts JOIN counts h ON h.lang = cuts.lang AND h.phrase = head JOIN counts t ON t.lang = cuts.lang
+        AND t.phrase = rest
+), lowest AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1
+), inner_parts AS (
+    SELECT lang, part, max(a) AS longer FROM (
+        SELECT lang, a, unnest([array_to_string(string_split(phrase, ' ')[1:2], ' '),
+                                array_to_string(string_split(phrase, ' ')[2:3], ' ')]) AS part
+        FROM lowest WHERE n = 3) GROUP BY ALL
+)
+SELECT lowest.lang, row_number() OVER (PARTITION BY lowest.lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase,
+       a, l, r, totals.n AS n, score
+FROM lowest JOIN totals ON totals.lang = lowest.lang
+    LEFT JOIN inner_parts ON inner_parts.lang = lowest.lang AND part = phrase AND lowest.n = 2
+WHERE longer IS NULL OR 100 * longer < 50 * a
+QUALIFY rank <= 2000
+"""

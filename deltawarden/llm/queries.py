@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from deltawarden.llm import (
-    compression, fingerprints, mixing, negatives, packing, preferences, revisits, separators, simhash, substrings,
-    subwords, tagpaths)
+    compression, fingerprints, mixing, negatives, packing, phrases, preferences, revisits, separators, simhash,
+    substrings, subwords, tagpaths)
 from deltawarden.llm.common import table
 from deltawarden.llm.oracles import ORACLES  # noqa: F401 - registered with the queries
 from deltawarden.session import scratch_path
@@ -132,6 +132,10 @@ def op11_range_tree_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(negatives.quantised(rows.withColumn("label", label)))
 
 
+def op12_misra_gries_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
 def op13_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return subwords.quality_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -140,5 +144,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (
         op1_revisit_resolution, op2_tag_path_ratios, op3_compression_bands, op4_bin_completion, op5_fm_index,
         op6_polynomial_fingerprints, op7_target_weights, op8_separator_scan, op9_preference_pairs, op10_vantage_tree,
-        op11_range_tree_negatives, op13_subword_quality)
+        op11_range_tree_negatives, op12_misra_gries_phrases, op13_subword_quality)
 }
