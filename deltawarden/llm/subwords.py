@@ -19,9 +19,9 @@ own and alike. Only doc_id and text of the documents are read.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -33,13 +33,14 @@ from deltawarden.session import cut_lineage
 # Fixed value: the mark that ends every text.
 END = b"</s>"
 _SPACES = bytes.maketrans(WHITE_BYTES, b" " * len(WHITE_BYTES))
-_TURN = np.uint64(116049371)
+_TURN, _STIR = np.uint64(116049371), np.uint64(0x9E3779B97F4A7C15)
 
 
 @dataclass(frozen=True)
 class SubwordRules:
     """shortest, longest: characters of an n-gram; word_ngrams: the most words of one. steps: documents seen in
-    training, over as many passes as that takes. kept_words: words that a task remembers the features of."""
+    training, over as many passes as that takes. kept_words: words that a task remembers the shares of; chunk: words
+    scored at a time."""
 
     dim: int = 8
     buckets: int = 1 << 18
@@ -48,105 +49,146 @@ class SubwordRules:
     word_ngrams: int = 2
     steps: int = 25_000
     rate: float = 0.5
-    sample_rows: int = 5000
-    sample_entries: int = 1 << 24
+    sample_rows: int = 3000
+    sample_entries: int = 8_000_000
     seed: int = 13
-    kept_words: int = 400_000
+    kept_words: int = 500_000
+    chunk: int = 500_000
 
 
-def word_features(word: bytes, rules: SubwordRules) -> np.ndarray:
-    """Buckets of the word itself and of its character n-grams."""
-    from xxhash import xxh32_intdigest
+def _bucket(hashes: np.ndarray, salt: int, rules: SubwordRules) -> np.ndarray:
+    stirred = (hashes + np.uint64(salt)) * _STIR
+    return ((stirred ^ (stirred >> np.uint64(32))) % np.uint64(rules.buckets)).astype(np.int64)
 
-    marked = "<" + word.decode("utf-8", "replace") + ">"
-    found = [xxh32_intdigest(word) % rules.buckets]
-    for n in range(rules.shortest, rules.longest + 1):
-        for i in range(len(marked) - n + 1):
-            if n < len(marked):  # the whole word has its own feature
-                found.append(xxh32_intdigest(marked[i:i + n].encode(), n) % rules.buckets)
-    return np.array(found, np.int64)
 
+def end_bucket(rules: SubwordRules) -> int:
+    return int(_bucket(word_hashes([END]), 0, rules)[0])
 
-class Words(dict):
-    """Word to its number. ``hashes`` has a number to combine to word n-grams; ``made`` what ``make`` gives of the
-    features of each."""
 
-    def __init__(self, rules: SubwordRules, make):
-        super().__init__()
-        self.rules, self.make = rules, make
-        self.hashes: list[int] = []
-        self.made: list = []
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    from xxhash import xxh64_intdigest
 
-    def __missing__(self, word: bytes) -> int:
-        from xxhash import xxh64_intdigest
+    return np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words))
 
-        number = len(self.made)
-        self.hashes.append(xxh64_intdigest(word))
-        self.made.append(self.make(word_features(word, self.rules)))
-        self[word] = number
-        return number
-
-    def forget(self) -> None:
-        if len(self) > self.rules.kept_words:
-            self.clear()
-            self.hashes, self.made = [], []
-
-
-def _parts(text: bytes) -> Iterator[list[bytes]]:
-    for part in slices(text.translate(_SPACES)):
-        if words := part.split():
-            yield words
 
+def word_features(words: list[bytes], hashes: np.ndarray, rules: SubwordRules) -> tuple[np.ndarray, np.ndarray]:
+    """(place in the list, bucket) of every word itself and of each of its character n-grams, in the order of n."""
+    owners, buckets = [np.arange(len(words))], [_bucket(hashes, 0, rules)]
+    marked = b"<" + b"> <".join(words) + b">"  # no word has a space in it
+    signs = np.frombuffer(marked.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+    space = signs == 32
+    owner = np.cumsum(space)
+    joined = signs
+    for n in range(2, rules.longest + 1):
+        joined = joined[:-1] * _TURN + signs[n - 1:]
+        if n >= rules.shortest:
+            inside = (owner[:len(joined)] == owner[n - 1:]) & ~space[:len(joined)]
+            owners.append(owner[:len(joined)][inside])
+            buckets.append(_bucket(joined[inside], n, rules))
+    return np.concatenate(owners), np.concatenate(buckets)
 
-def _word_ngrams(hashes: np.ndarray, rules: SubwordRules, known: int) -> Iterator[np.ndarray]:
-    """Buckets of the n-grams of two and more words; those within the first ``known`` words were given before.
 
-    They are hashed from the differences of neighbours, so a word that follows itself has the same bucket whatever
-    the word: repetition is learned as such.
-    """
+def word_ngrams(hashes: np.ndarray, rules: SubwordRules) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, buckets of the n-grams that start at each word). They are hashed from the differences of neighbours, so a
+    word that follows itself has the same bucket whatever the word: repetition is learned as such."""
     steps = hashes[1:] - hashes[:-1]
     joined = steps
     for n in range(2, rules.word_ngrams + 1):
-        if len(hashes) < n:
-            return
         if n > 2:
             joined = joined[:-1] * _TURN + steps[n - 2:]
-        fresh = joined[max(0, known - n + 1):]
-        yield ((fresh ^ (fresh >> np.uint64(31))) % np.uint64(rules.buckets)).astype(np.int64)
+        yield n, _bucket(joined, n << 8, rules)
 
 
-def _text_features(text: bytes, words: Words, rules: SubwordRules) -> Iterator[tuple[np.ndarray, list[np.ndarray]]]:
-    """Part by part: numbers of the words, and buckets of word n-grams."""
-    before = np.zeros(0, np.uint64)
-    for part in _parts(text):
-        words.forget()
-        numbers = np.fromiter(map(words.__getitem__, part), np.int64, len(part))
-        own = np.fromiter((words.hashes[k] for k in numbers), np.uint64, len(numbers))
-        hashes = np.concatenate([before, own])
-        yield numbers, list(_word_ngrams(hashes, rules, len(before)))
-        before = hashes[max(0, len(hashes) - rules.word_ngrams + 1):]
-
+def feature_counts(text: bytes, rules: SubwordRules) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of a text and how often each comes."""
+    total = np.zeros(rules.buckets, np.int64)
+    total[end_bucket(rules)] = 1
+    before: list[bytes] = []
+    for part in slices(text.translate(_SPACES)):
+        words = part.split()
+        often = Counter(words)
+        distinct = list(often)
+        if distinct:
+            own, buckets = word_features(distinct, word_hashes(distinct), rules)
+            many = np.fromiter(often.values(), np.int64, len(often))[own]
+            total += np.bincount(buckets, many, rules.buckets).astype(np.int64)
+        run = before + words
+        for n, buckets in word_ngrams(word_hashes(run), rules):
+            total += np.bincount(buckets[max(0, len(before) - n + 1):], minlength=rules.buckets)
+        before = run[max(0, len(run) - rules.word_ngrams + 1):]
+    found = np.flatnonzero(total)
+    return found, total[found]
 
-@cache
-def _end_bucket(buckets: int) -> int:
-    from xxhash import xxh32_intdigest
 
-    return xxh32_intdigest(END, 1) % buckets
+class Scorer:
+    """Sums of logit shares over texts, many at a time. The shares of a word are worked out once and remembered."""
 
+    def __init__(self, model: SubwordModel):
+        self.model, self.rules = model, model.rules
+        self.forget()
 
-def feature_counts(text: bytes, words: Words, rules: SubwordRules) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of a text and how often each comes. ``words`` keeps the buckets of a word."""
-    total = np.zeros(rules.buckets, np.int64)
-    total[_end_bucket(rules.buckets)] = 1
-    for numbers, ngrams in _text_features(text, words, rules):
-        distinct, often = np.unique(numbers, return_counts=True)
-        own = [words.made[k] for k in distinct]
-        sizes = np.fromiter(map(len, own), np.int64, len(own))
-        np.add.at(total, np.concatenate(own), np.repeat(often, sizes))
-        for buckets in ngrams:
-            np.add.at(total, buckets, 1)
-    found = np.flatnonzero(total)
-    return found, total[found]
+    def forget(self) -> None:
+        self.numbers: dict[bytes, int] = {}
+        self.hashes = np.zeros(0, np.uint64)
+        self.shares = np.zeros((0, len(self.model.classes) + 1))  # of the classes, and the number of features
+
+    def learn(self, words: list[bytes]) -> None:
+        self.numbers.update(zip(words, range(len(self.numbers), len(self.numbers) + len(words))))
+        hashes = word_hashes(words)
+        own, buckets = word_features(words, hashes, self.rules)
+        columns = [np.bincount(own, share[buckets], len(words)) for share in self.model.logits.T]
+        columns.append(np.bincount(own, minlength=len(words)).astype(np.float64))
+        self.hashes = np.concatenate([self.hashes, hashes])
+        self.shares = np.concatenate([self.shares, np.stack(columns, axis=1)])
+
+    def totals(self, texts: list[bytes]) -> np.ndarray:
+        """Per text the sums over its features, and how many these are."""
+        end = end_bucket(self.rules)
+        out = np.tile(np.append(self.model.logits[end], 1.0), (len(texts), 1))
+        runs: list[tuple[int, list[bytes], int]] = []  # (text, words, words counted before)
+        held = 0
+        for i, text in enumerate(texts):
+            before: list[bytes] = []
+            for part in slices(text.translate(_SPACES)):
+                run = before + part.split()
+                runs.append((i, run, len(before)))
+                held += len(run)
+                before = run[max(0, len(run) - self.rules.word_ngrams + 1):]
+                if held >= self.rules.chunk:
+                    self._add(runs, out)
+                    runs, held = [], 0
+        self._add(runs, out)
+        return out
+
+    def _add(self, runs: list[tuple[int, list[bytes], int]], out: np.ndarray) -> None:
+        if len(self.numbers) > self.rules.kept_words:
+            self.forget()
+        seen: set[bytes] = set()
+        for _, words, _ in runs:
+            seen.update(words)
+        if fresh := list(seen.difference(self.numbers)):
+            self.learn(fresh)
+        sizes = np.array([len(words) for _, words, _ in runs], np.int64)
+        words = np.fromiter((self.numbers[w] for _, run, _ in runs for w in run), np.int64, int(sizes.sum()))
+        of = np.repeat(np.array([i for i, _, _ in runs], np.int64), sizes)  # text of each word
+        run = np.repeat(np.arange(len(runs)), sizes)
+        place = np.arange(len(words)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+        known = np.repeat(np.array([k for _, _, k in runs], np.int64), sizes)
+        new = place >= known
+        for c in range(out.shape[1]):
+            out[:, c] += np.bincount(of[new], self.shares[words[new], c], len(out))
+        for n, buckets in word_ngrams(self.hashes[words], self.rules):
+            # Inside one run, and ending in a word that was not counted before.
+            at = np.flatnonzero((run[:len(buckets)] == run[n - 1:]) & new[n - 1:])
+            for c, share in enumerate(self.model.logits.T):
+                out[:, c] += np.bincount(of[at], share[buckets[at]], len(out))
+            out[:, -1] += np.bincount(of[at], minlength=len(out))
+
+    def probabilities(self, texts: list[bytes]) -> np.ndarray:
+        sums = self.totals(texts)
+        logits = sums[:, :-1] / sums[:, -1:]
+        odds = np.exp(logits - logits.max(axis=1, keepdims=True))
+        return odds / odds.sum(axis=1, keepdims=True)
 
 
 @dataclass(frozen=True)
@@ -182,26 +224,6 @@ class SubwordModel:
                 vectors[buckets] -= rate * share[:, None] * back
         return SubwordModel(rules, classes, (vectors @ out.T).astype(np.float64))
 
-    def scorer(self):
-        """A function from a text to the probabilities of the classes."""
-        kept = self.logits
-        words = Words(self.rules, lambda buckets: (kept[buckets].sum(axis=0), len(buckets)))
-
-        def probabilities(text: bytes) -> np.ndarray:
-            total, n = kept[_end_bucket(self.rules.buckets)].copy(), 1
-            for numbers, ngrams in _text_features(text, words, self.rules):
-                distinct, often = np.unique(numbers, return_counts=True)
-                made = [words.made[k] for k in distinct]
-                total += often @ np.stack([m[0] for m in made])
-                n += int(often @ np.fromiter((m[1] for m in made), np.int64, len(made)))
-                for buckets in ngrams:
-                    total += kept[buckets].sum(axis=0)
-                    n += len(buckets)
-            odds = np.exp(total / n - (total / n).max())
-            return odds / odds.sum()
-
-        return probabilities
-
 
 def id_remainder(doc_id: Column, folds: int = 5) -> Column:
     """CRC-32 of the doc_id as text, modulo the folds; a null doc_id counts as empty text."""
@@ -222,10 +244,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rules: Subword
         "place", "label_id", "label", "text").orderBy("place", "label_id", "text").limit(rules.sample_rows)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words(rules, lambda buckets: buckets)
         for batch in batches:
             for i, value in enumerate(batch.column(3).cast(pa.binary())):
-                found, often = feature_counts(value.as_py(), words, rules)
+                found, often = feature_counts(value.as_py(), rules)
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(i, 1) for k in range(3)),
                      pa.array([found.astype("<i4").tobytes()]), pa.array([often.astype("<i4").tobytes()]),
@@ -240,8 +261,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, rules: Subword
     so_far = Window.orderBy("place", "label_id", "buckets", "counts").rowsBetween(Window.unboundedPreceding, 0)
     taken = (counted.withColumn("so_far", F.sum("entries").over(so_far)).where(F.col("so_far") <= rules.sample_entries)
              .orderBy("place", "label_id", "buckets", "counts").select("label", "buckets", "counts").toArrow())
-    return [(label_value.as_py(), np.frombuffer(buckets.as_py(), "<i4").astype(np.int64),
-             np.frombuffer(counts.as_py(), "<i4").astype(np.float64))
+    return [(label_value.as_py(), np.frombuffer(buckets.as_buffer(), "<i4"), np.frombuffer(counts.as_buffer(), "<i4"))
             for label_value, buckets, counts in zip(*taken.columns, strict=True)]
 
 
@@ -258,9 +278,11 @@ def probabilities(docs: DataFrame, model: SubwordModel, name: str = "probabiliti
 
     @F.arrow_udf("array<double>")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        scorer = shared.value.scorer()
+        scorer = Scorer(shared.value)
         for texts in batches:
-            yield pa.array([scorer(value.as_py()) for value in texts.cast(pa.binary())], pa.list_(pa.float64()))
+            found = scorer.probabilities([value.as_py() for value in texts.cast(pa.binary())])
+            yield pa.ListArray.from_arrays(
+                np.arange(len(found) + 1, dtype=np.int32) * found.shape[1], pa.array(found.ravel()))
 
     return docs.withColumn(name, score(whole_text(docs, text)))
 
