@@ -4,11 +4,16 @@ Lengths are whole numbers up to the capacity, so the packing problem of any corp
 most ``capacity`` rows. The search runs on that histogram and yields fillings with a multiplicity; the pieces are
 then dealt into the fillings by their rank within their length, which is counted in salted parts.
 
-Search: take the largest piece left, list the fillings of the rest of its sequence that no other filling dominates
-(one whose pieces can be grouped into the pieces of another is dominated), and branch over them, least waste first.
-A branch ends when its waste leaves no room to beat the best packing known. Best-fit decreasing gives that packing
-at the start and completes branches on the way, so there is a whole packing at any time; ``max_nodes`` bounds the
-search, not the result. The packing is known to be minimal when it meets the lower bound or the search runs out.
+Search: take the largest piece left, list the fillings of the rest of its sequence, least waste first, and branch over
+them. Sums that the remaining lengths can reach, held as bits of one number per length, lead to every filling without
+a dead end. A filling is left out if a piece would still fit, or if another one dominates it (its pieces can be grouped
+into the other's pieces). A branch uses a filling as often as it goes, or once. It ends when its waste leaves no room
+to beat the best packing known. Best-fit decreasing gives that packing at the start and completes branches as long as
+completing has taken no more work than branching, so there is a whole packing at any time.
+
+The search is the same at every size. ``max_steps`` bounds its elementary steps on the driver, ``width`` the fillings
+listed at a branch; neither depends on the clock, so reruns agree. The packing is known to be minimal when it meets
+the lower bound, or when the search runs out and no list was cut; otherwise the best one found is returned.
 
 Defined results: a null or empty text is one piece that holds the separator alone; repeated rows are packed like any
 others; an empty table gives an empty result. Only doc_id and text are read.
@@ -18,8 +23,10 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -32,42 +39,50 @@ from deltawarden.session import cut_lineage
 Filling = tuple[tuple[int, int], ...]  # (length, copies), longest first
 
 
-def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[int, Filling]]:
+@dataclass
+class Work:
+    """Elementary steps taken; ``most`` ends a search."""
+
+    most: int
+    steps: int = 0
+
+
+def best_fit(counts: dict[int, int], capacity: int, work: Work | None = None) -> list[tuple[int, Filling]]:
     """Best-fit decreasing over a histogram: (sequences, what each holds)."""
-    open_groups: dict[int, list[list]] = {}  # room left -> [sequences, {length: copies}]
-    rooms: list[int] = []
+    work = work or Work(0)
+    open_groups: dict[int, list[tuple[int, dict[int, int]]]] = {}  # room left -> (sequences, {length: copies})
+    rooms: list[int] = []  # sorted keys of open_groups
 
-    def put(room: int, many: int, holds: dict) -> None:
-        open_groups.setdefault(room, []).append([many, holds])
+    def put(room: int, many: int, holds: dict[int, int]) -> None:
+        if room not in open_groups:
+            open_groups[room] = []
+            insort(rooms, room)
+        open_groups[room].append((many, holds))
 
     for length in sorted(counts, reverse=True):
         left = counts[length]
         while left:
-            rooms = [r for r in open_groups if r >= length]
-            if not rooms:
+            work.steps += 4
+            at = bisect_left(rooms, length)
+            if at == len(rooms):
                 per = capacity // length
                 many, rest = divmod(left, per)
                 if many:
                     put(capacity - per * length, many, {length: per})
                 if rest:
                     put(capacity - rest * length, 1, {length: rest})
-                left = 0
-                continue
-            room = min(rooms)
-            group = open_groups[room][-1]
+                break
+            room = rooms[at]
+            open_many, holds = open_groups[room].pop()
             per = room // length
-            many = min(group[0], left // per)
-            if many:
-                taken, added = many, per
-            else:
-                taken, added = 1, left
-            group[0] -= taken
-            holds = {**group[1], length: group[1].get(length, 0) + added}
-            if not group[0]:
-                open_groups[room].pop()
-                if not open_groups[room]:
-                    del open_groups[room]
-            put(room - added * length, taken, holds)
+            many = min(open_many, left // per)
+            taken, added = (many, per) if many else (1, left)
+            if open_many > taken:
+                open_groups[room].append((open_many - taken, holds))
+            if not open_groups[room]:
+                del open_groups[room]
+                rooms.pop(at)
+            put(room - added * length, taken, {**holds, length: holds.get(length, 0) + added})
             left -= taken * added
     return [(many, tuple(sorted(holds.items(), reverse=True)))
             for groups in open_groups.values() for many, holds in groups]
@@ -90,15 +105,18 @@ def lower_bound(counts: dict[int, int], capacity: int) -> int:
     return best
 
 
-def _fits_into(small: list[int], rooms: list[int]) -> bool:
-    """Whether the pieces can be grouped into the given rooms; both lists are short."""
+def _fits_into(small: list[int], rooms: list[int], work: Work) -> bool:
+    """Whether the pieces can be grouped into the given rooms. Undecided within the steps allowed counts as no."""
     if not small:
         return True
     head, tried = small[0], set()
     for i, room in enumerate(rooms):
+        if work.steps >= work.most:
+            return False
+        work.steps += 1
         if room >= head and room not in tried:
             tried.add(room)
-            if _fits_into(small[1:], rooms[:i] + [room - head] + rooms[i + 1:]):
+            if _fits_into(small[1:], rooms[:i] + [room - head] + rooms[i + 1:], work):
                 return True
     return False
 
@@ -107,44 +125,65 @@ def _spelled(filling: Filling) -> list[int]:
     return [length for length, copies in filling for _ in range(copies)]
 
 
-def fillings(counts: dict[int, int], room: int, max_waste: int, width: int) -> list[Filling]:
-    """Undominated fillings of the room, least waste first; no filling wastes more than max_waste.
+def _reachable(lengths: list[int], counts: dict[int, int], room: int, work: Work) -> list[int]:
+    """For each place in the list the sums up to the room that lengths from there on reach, as bits of a number."""
+    mask, sums = (1 << (room + 1)) - 1, [1]
+    for length in reversed(lengths):
+        bits, copies, many = sums[-1], min(counts[length], room // length), 1
+        while copies:  # 1, 2, 4 ... copies at once make every number of copies
+            step = min(many, copies)
+            bits |= bits << (step * length) & mask
+            copies, many = copies - step, 2 * many
+            work.steps += 1
+        sums.append(bits)
+    return sums[::-1]
 
-    width bounds how many maximal fillings are compared.
-    """
+
+def list_fillings(counts: dict[int, int], room: int, max_waste: int, work: Work) -> Iterator[Filling]:
+    """Undominated fillings of the room, least waste first; no filling wastes more than max_waste."""
     if counts.get(room):
-        return [((room, 1),)]  # a piece that fills the room dominates every other filling
+        yield ((room, 1),)  # a piece that fills the room dominates every other filling
+        return
     lengths = [s for s in sorted(counts, reverse=True) if s <= room and counts[s]]
-    if not lengths:
-        return [()] if room <= max_waste else []
-    found: list[Filling] = []
-    smallest = lengths[-1]
+    sums = _reachable(lengths, counts, room, work)
+    kept: list[list[int]] = []
 
-    def extend(start: int, left: int, held: Filling) -> None:
-        if len(found) >= width:
-            return
-        # Maximal: no piece that remains would still fit.
-        used = dict(held)
-        if left < smallest or not any(s <= left and counts[s] > used.get(s, 0) for s in lengths):
-            if left <= max_waste:
-                found.append(held)
+    def fill(start: int, left: int, held: Filling) -> Iterator[Filling]:
+        if not left:
+            yield held
             return
         for i in range(start, len(lengths)):
+            work.steps += 1
+            if work.steps >= work.most or not sums[i] >> left & 1:
+                return  # sums shrink along the list
             s = lengths[i]
             for copies in range(min(left // s, counts[s]), 0, -1):
-                extend(i + 1, left - copies * s, (*held, (s, copies)))
-                if len(found) >= width:
-                    return
+                work.steps += 1
+                if sums[i + 1] >> (left - copies * s) & 1:
+                    yield from fill(i + 1, left - copies * s, (*held, (s, copies)))
 
-    extend(0, room, ())
-    found.sort(key=lambda f: (room - sum(s * c for s, c in f), sum(c for _, c in f)))
-    kept: list[Filling] = []
-    for candidate in found:
-        pieces = _spelled(candidate)
-        if len(pieces) > 12 or not any(
-                len(held := _spelled(k)) <= len(pieces) and _fits_into(pieces, held) for k in kept):
-            kept.append(candidate)
-    return kept
+    for target in range(room, max(0, room - max_waste) - 1, -1):
+        work.steps += 1
+        if work.steps >= work.most:
+            return
+        if not sums[0] >> target & 1:
+            continue
+        waste = room - target
+        for filling in fill(0, target, ()):
+            used = dict(filling)
+            if any(s <= waste and counts[s] > used.get(s, 0) for s in reversed(lengths)):
+                continue  # a piece would still fit
+            pieces = _spelled(filling)
+            tests = Work(64 + 16 * len(pieces))
+            if not any(len(other) <= len(pieces) and _fits_into(pieces, list(other), tests) for other in kept):
+                kept.append(pieces)
+                yield filling
+            work.steps += tests.steps
+
+
+def fillings(counts: dict[int, int], room: int, max_waste: int, width: int) -> list[Filling]:
+    """The first ``width`` undominated fillings of the room."""
+    return list(islice(list_fillings(counts, room, max_waste, Work(1 << 62)), width))
 
 
 @dataclass
@@ -155,6 +194,7 @@ class Packing:
     minimal: bool
     bound: int
     nodes: int = 0
+    steps: int = 0
 
     @property
     def sequences(self) -> int:
@@ -164,79 +204,91 @@ class Packing:
 @dataclass
 class _Branch:
     counts: dict[int, int]
-    taken: list[tuple[int, Filling]]
+    before: _Branch | None  # the branch this one came from, and what was taken there
+    taken: tuple[int, Filling] | None
     waste: int
-    choices: Iterator[Filling] = field(default_factory=lambda: iter(()))
-    largest: int = 0
+    choices: Iterator[tuple[int, Filling]] = field(default_factory=lambda: iter(()))
 
+    def path(self) -> list[tuple[int, Filling]]:
+        found, at = [], self
+        while at.taken:
+            found.append(at.taken)
+            at = at.before
+        return found
 
-def complete_bins(counts: dict[int, int], capacity: int, max_nodes: int = 2000, width: int = 200) -> Packing:
-    """Branch and bound over the histogram of lengths.
 
-    width: maximal fillings compared at a branch; a twelfth of them while more than 64 lengths are left.
-    """
+def complete_bins(counts: dict[int, int], capacity: int, max_steps: int = 4_000_000, width: int = 200) -> Packing:
+    """Branch and bound over the histogram of lengths; ``max_steps`` bounds its work, ``width`` the fillings of a branch."""
     counts = {int(s): int(n) for s, n in counts.items() if n}
     if any(s < 1 or s > capacity for s in counts):
         raise ValueError("lengths must lie between 1 and the capacity")
     total, bound = sum(s * n for s, n in counts.items()), lower_bound(counts, capacity)
-    best = best_fit(counts, capacity)
-    packing = Packing(best, sum(m for m, _ in best) == bound, bound)
-    if packing.minimal:
-        return packing
+    work, completing, cut = Work(max_steps), Work(0), False
+    found = best_fit(counts, capacity)
+    fewest = sum(m for m, _ in found)
 
     def offer(taken: list[tuple[int, Filling]]) -> None:
-        nonlocal packing
-        if sum(m for m, _ in taken) < packing.sequences:
-            packing = Packing(taken, False, bound, packing.nodes)
-
-    nodes, stack = 0, []
-
-    def apply(branch: _Branch, filling: Filling) -> _Branch:
-        """Use the filling as often as the largest piece and the filling's own pieces last."""
-        largest = branch.largest
-        need = dict(filling)
-        need[largest] = need.get(largest, 0) + 1
-        many = min(branch.counts[s] // c for s, c in need.items())
-        left = {s: n - many * need.get(s, 0) for s, n in branch.counts.items()}
-        room = capacity - sum(s * c for s, c in need.items())
-        return _Branch({s: n for s, n in left.items() if n},
-                       [*branch.taken, (many, tuple(sorted(need.items(), reverse=True)))],
-                       branch.waste + many * room)
-
-    def open_branch(branch: _Branch, allowed: int) -> bool:
+        nonlocal found, fewest
+        if (many := sum(m for m, _ in taken)) < fewest:
+            found, fewest = taken, many
+
+    def allowed() -> int:
+        """The waste of any better packing."""
+        return (fewest - 1) * capacity - total
+
+    def choices(branch: _Branch) -> Iterator[tuple[int, Filling]]:
+        """(sequences, filling): every filling as often as it goes, and after these every one once."""
+        nonlocal cut
+        largest = max(branch.counts)
+        rest = dict(branch.counts)
+        rest[largest] -= 1
+        again: list[Filling] = []
+        listed = list_fillings(rest, capacity - largest, allowed() - branch.waste, work)
+        for number, filling in enumerate(listed):
+            if number == width:
+                cut = True
+                break
+            need = dict(filling)
+            need[largest] = need.get(largest, 0) + 1
+            most = min(branch.counts[s] // c for s, c in need.items())
+            whole = tuple(sorted(need.items(), reverse=True))
+            yield most, whole
+            if most > 1:
+                again.append(whole)
+        for whole in again:
+            yield 1, whole
+
+    def opened(branch: _Branch) -> bool:
         """Prepare the choices of a branch; false if it is complete or cannot beat the best packing."""
-        if branch.waste > allowed:
+        if branch.waste > allowed():
             return False
         if not branch.counts:
-            offer(branch.taken)
+            offer(branch.path())
             return False
-        # Completing a branch costs more than opening it: now and then in large ones, always in small ones.
-        if nodes & (nodes - 1) == 0 or len(branch.counts) <= 64:
-            offer(branch.taken + best_fit(branch.counts, capacity))
-        branch.largest = max(branch.counts)
-        rest = dict(branch.counts)
-        rest[branch.largest] -= 1
-        branch.choices = iter(fillings(
-            {s: n for s, n in rest.items() if n}, capacity - branch.largest, allowed - branch.waste,
-            width if len(rest) <= 64 else max(1, width // 12)))
+        if completing.steps <= work.steps:
+            offer(branch.path() + best_fit(branch.counts, capacity, completing))
+        branch.choices = choices(branch)
         return True
 
-    allowed = (packing.sequences - 1) * capacity - total  # the waste of any better packing
-    root = _Branch(counts, [], 0)
-    if open_branch(root, allowed):
-        stack.append(root)
-    while stack and nodes < max_nodes and packing.sequences > bound:
-        filling = next(stack[-1].choices, None)
-        if filling is None:
+    nodes, root = 0, _Branch(counts, None, None, 0)
+    stack = [root] if fewest > bound and opened(root) else []
+    while stack and fewest > bound and work.steps < max_steps:
+        choice = next(stack[-1].choices, None)
+        if choice is None:
             stack.pop()
             continue
         nodes += 1
-        allowed = (packing.sequences - 1) * capacity - total
-        child = apply(stack[-1], filling)
-        if open_branch(child, allowed):
+        (many, filling), above = choice, stack[-1]
+        left = dict(above.counts)
+        for s, c in filling:
+            left[s] -= many * c
+        work.steps += len(left)
+        child = _Branch({s: n for s, n in left.items() if n}, above, choice,
+                        above.waste + many * (capacity - sum(s * c for s, c in filling)))
+        if opened(child):
             stack.append(child)
-    packing.nodes, packing.minimal = nodes, packing.sequences == bound
-    return packing
+    ran_out = not stack and not cut and work.steps < max_steps
+    return Packing(found, fewest == bound or ran_out, bound, nodes, work.steps)
 
 
 def token_pieces(docs: DataFrame, capacity: int = 2048, separator: int = 0, tokenizer: str = "word_bpe_49k.json",
@@ -307,13 +359,13 @@ def ranked_by_length(pieces: DataFrame, rows_per_part: int = 4096) -> tuple[Data
     return ranked, histogram
 
 
-def pack(pieces: DataFrame, capacity: int = 2048, max_nodes: int = 2000) -> tuple[DataFrame, Packing]:
+def pack(pieces: DataFrame, capacity: int = 2048, max_steps: int = 4_000_000) -> tuple[DataFrame, Packing]:
     """Pieces (doc_id, piece, start, length, ids_crc32 and more) with sequence_id and offset, and the packing.
 
     What comes to the driver is the histogram: at most ``capacity`` rows, whatever the size of the corpus.
     """
     ranked, histogram = ranked_by_length(pieces)
-    packing = complete_bins(histogram, capacity, max_nodes)
+    packing = complete_bins(histogram, capacity, max_steps)
     slots = _slots(packing)
     longest = int(max(histogram.values(), default=0)) + 1
 
@@ -333,9 +385,9 @@ def pack(pieces: DataFrame, capacity: int = 2048, max_nodes: int = 2000) -> tupl
 
 
 def pack_documents(docs: DataFrame, capacity: int = 2048, separator: int = 0, tokenizer: str = "word_bpe_49k.json",
-                   keep_ids: bool = False, max_nodes: int = 2000) -> DataFrame:
+                   keep_ids: bool = False, max_steps: int = 4_000_000) -> DataFrame:
     """One row per piece with its place."""
-    return pack(token_pieces(docs, capacity, separator, tokenizer, keep_ids), capacity, max_nodes)[0]
+    return pack(token_pieces(docs, capacity, separator, tokenizer, keep_ids), capacity, max_steps)[0]
 
 
 def sequences(placed: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -83,6 +84,46 @@ def test_large_histogram():
     assert found.sequences <= math.ceil(sizes.sum() / 2048) * 1.001
 
 
+def waste(filling, room):
+    return room - sum(s * c for s, c in filling)
+
+
+def test_fillings_come_least_waste_first():
+    r = random.Random(2)
+    for _ in range(200):
+        counts = Counter(r.randint(2, 20) for _ in range(r.randint(1, 9)))
+        listed = packing.fillings(counts, 25, 25, 10_000)
+        assert [waste(f, 25) for f in listed] == sorted(waste(f, 25) for f in listed)
+        assert all(c <= counts[s] for f in listed for s, c in f)
+        pieces, best = list(counts.elements()), 0
+        for chosen in range(1 << len(pieces)):
+            size = sum(p for i, p in enumerate(pieces) if chosen >> i & 1)
+            best = max(best, size if size <= 25 else 0)
+        assert waste(listed[0], 25) == 25 - best
+
+
+@pytest.mark.parametrize("times", [1, 3, 12, 1000])
+def test_search_ends_at_any_size(times):
+    """The same search on any multiple of a histogram; its work is bounded, so is its time."""
+    r = np.random.default_rng(17)
+    counts = {s: n * times for s, n in Counter(np.minimum(2048, 1 + r.lognormal(6, 1.3, 20_000)).astype(int).tolist()).items()}
+    started = time.process_time()
+    found = packing.complete_bins(counts, 2048)
+    assert time.process_time() - started < 30
+    check_packing(counts, found, 2048)
+    assert found.bound <= found.sequences <= sum(m for m, _ in packing.best_fit(counts, 2048))
+    assert found.steps < 4_100_000
+
+
+def test_search_that_runs_out_proves_its_packing():
+    counts = {7: 3, 6: 2, 5: 2, 4: 1}
+    found = packing.complete_bins(counts, 12)
+    assert found.minimal and found.sequences == fewest([7, 7, 7, 6, 6, 5, 5, 4], 12)
+    # Small pieces in plenty make dominance tests long; they end undecided.
+    many = {s: 40 for s in range(1, 60)}
+    check_packing(many, packing.complete_bins(many, 211, max_steps=200_000), 211)
+
+
 def test_dominated_fillings_are_left_out():
     # {5} fills as much as {3, 2} with a piece that is harder to place.
     assert packing.fillings({5: 1, 3: 1, 2: 1}, 6, 6, 100)[0] == ((5, 1),)
