@@ -141,13 +141,20 @@ class Summary:
         self.keys, self.counts = np.zeros(0, np.uint32), np.zeros(0, np.int64)
 
     def merge(self, keys: np.ndarray, counts: np.ndarray, taken_off: int = 0) -> None:
-        """Add another summary; its keys are distinct."""
-        together = np.concatenate([self.keys, keys])
-        order = np.argsort(together, kind="stable")
-        together, both = together[order], np.concatenate([self.counts, counts])[order]
-        starts = np.flatnonzero(np.concatenate([[True], together[1:] != together[:-1]])) if len(together) else []
-        self.keys = together[starts] if len(together) else together
-        self.counts = np.add.reduceat(both, starts) if len(together) else both
+        """Add another summary, or several at once: a key may come more than once."""
+        keys = np.concatenate([self.keys, keys])
+        counts = np.concatenate([self.counts, counts])
+        # Key and count in one number sort faster than places; counts of 2^32 and more take the other way.
+        if counts.max(initial=0) < 1 << 32:
+            both = np.sort(keys.astype(np.uint64) << np.uint64(32) | counts.astype(np.uint64))
+            keys, counts = (both >> np.uint64(32)).astype(np.uint32), (both & np.uint64(0xFFFFFFFF)).astype(np.int64)
+        else:
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+        if len(keys):
+            starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+            keys, counts = keys[starts], np.add.reduceat(counts, starts)
+        self.keys, self.counts = keys, counts
         self.taken_off += taken_off
         if len(self.keys) > self.capacity:
             cut = int(np.partition(self.counts, -self.capacity - 1)[-self.capacity - 1])
@@ -198,8 +205,16 @@ def survivor_bits(texts: DataFrame, rules: PhraseRules) -> np.ndarray:
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         summary, part = None, None
+        waiting: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def add() -> None:
+            if waiting:
+                keys, counts = zip(*waiting, strict=True)
+                summary.merge(np.concatenate(keys), np.concatenate(counts))
+                waiting.clear()
 
         def row() -> pa.RecordBatch:
+            add()
             marked = np.zeros(bits, np.uint8)
             marked[_bit(summary.survivors(rules.threshold), bits)] = 1
             return pa.RecordBatch.from_arrays([pa.array([part]), pa.array([np.packbits(marked).tobytes()])],
@@ -214,8 +229,11 @@ def survivor_bits(texts: DataFrame, rules: PhraseRules) -> np.ndarray:
                     summary = Summary(rules.spare * total.as_py() // rules.threshold + 1)
                 ones = np.frombuffer(once.as_py(), np.uint32)
                 more, many = (np.frombuffer(x.as_py(), np.uint32) for x in (often, counts))
-                summary.merge(np.concatenate([ones, more]),
-                              np.concatenate([np.ones(len(ones), np.int64), many.astype(np.int64)]))
+                waiting.append((np.concatenate([ones, more]),
+                                np.concatenate([np.ones(len(ones), np.int64), many.astype(np.int64)])))
+                # Merging as much as a summary holds at a time sorts each count a few times only.
+                if sum(len(keys) for keys, _ in waiting) >= summary.capacity:
+                    add()
         if summary:
             yield row()
 
