@@ -9,6 +9,7 @@ from deltawarden.functions.safetext import evidence_text
 from deltawarden.functions.sqltext import trim_spaces
 from deltawarden.operators.decide import REJECTED, ReportLimits, bullet_lines, shown_reasons
 from deltawarden.session import cut_lineage
+from deltawarden.sources.store import KeyedStore
 
 TOOL = "deltawarden"
 BUNDLE_SCHEMA = (
@@ -112,46 +113,30 @@ def unverified(written: DataFrame, incoming: DataFrame) -> DataFrame:
     ).select("target_urn", "idempotency_key")
 
 
-def _replace_rows(new: DataFrame, path: str, key: str, buckets: int) -> DataFrame:
-    """Put rows into a table laid out by hash of ``key``: rows of the same key are replaced, others stay.
-
-    Only buckets that new rows fall into are read and rewritten. The rewritten buckets are written aside first, so
-    nothing is overwritten before all of it is there.
-    """
-    bucket = F.pmod(F.xxhash64(key), F.lit(buckets)).cast("int")
-    spark = new.sparkSession
-    fresh = cut_lineage(new.withColumn("bucket", bucket))
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        touched = fresh.select("bucket").distinct()  # at most as many rows as buckets
-        stored = spark.read.schema(fresh.schema).parquet(path).join(F.broadcast(touched), "bucket", "left_semi")
-        kept = stored.join(fresh.select(key).distinct(), key, "left_anti")
-        fresh = cut_lineage(fresh.unionByName(kept))
-    fresh.repartition("bucket").write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "bucket").parquet(path)
-    return spark.read.schema(fresh.schema).parquet(path).drop("bucket")
-
-
-def write_bundles(bundles: DataFrame, path: str, buckets: int = 64) -> DataFrame:
+def write_bundles(bundles: DataFrame, path: str, buckets: int = 64, **commit) -> DataFrame:
     """Store evidence bundles, one per analysis; an analysis written again replaces its own bundle only."""
-    return _replace_rows(bundles, path, "analysis_id", buckets)
+    store = KeyedStore(bundles.sparkSession, path, "analysis_id", buckets)
+
+    def replaced(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+        return incoming.unionByName(stored.join(incoming.select("analysis_id").distinct(), "analysis_id", "left_anti"))
+
+    return store.rows(bundles.schema, store.update(bundles, replaced, **commit))
 
 
-def write_evidence(incoming: DataFrame, path: str, buckets: int = 64) -> tuple[DataFrame, DataFrame]:
+def write_evidence(incoming: DataFrame, path: str, buckets: int = 64, **commit) -> tuple[DataFrame, DataFrame]:
     """Upsert records into the store at ``path``; returns the store as read back, and incoming records that did not
-    arrive. ``action`` in the store tells what the last write did to a record of a touched bucket."""
-    spark = incoming.sparkSession
-    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    arrive. ``action`` in the store tells what the last write did to a record of a touched bucket.
+
+    Other writers may update the store meanwhile: a version is committed whole or not at all.
+    """
     incoming = cut_lineage(incoming)
-    if folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
-        bucket = F.pmod(F.xxhash64("target_urn"), F.lit(buckets)).cast("int")
-        touched = incoming.select(bucket.alias("bucket")).distinct()  # at most as many rows as buckets
-        known = incoming.select("*", F.lit("").alias("action"), bucket.alias("bucket")).schema
-        stored = spark.read.schema(known).parquet(path).join(F.broadcast(touched), "bucket", "left_semi").drop(
-            "bucket", "action")
-    else:
-        stored = incoming.limit(0)
-    written = _replace_rows(upsert_evidence(stored, incoming), path, "target_urn", buckets)
+    store = KeyedStore(incoming.sparkSession, path, "target_urn", buckets)
+    schema = upsert_evidence(incoming, incoming).schema
+
+    def upserted(stored: DataFrame, new: DataFrame) -> DataFrame:
+        return upsert_evidence(stored.drop("action"), new)
+
+    written = store.rows(schema, store.update(incoming, upserted, schema, **commit))
     return written, unverified(written, incoming)
 
 
@@ -218,4 +203,5 @@ def extract_check_text(checks: DataFrame, check_name: str) -> DataFrame:
 
 
 def read_bundles(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    """The latest committed version of a bundle store."""
+    return KeyedStore(spark, path, "analysis_id").rows()

@@ -9,17 +9,19 @@ from pyspark.sql import DataFrame, functions as F
 
 from deltawarden.functions.sqltext import model_refs
 from deltawarden.operators.lineage import downstream_lineage
+from deltawarden.session import cut_lineage
 
 Model = Callable[[Mapping[str, DataFrame]], DataFrame]
 
 
 def build_models(
-    sources: Mapping[str, DataFrame], models: Mapping[str, tuple[tuple[str, ...], Model]]
+    sources: Mapping[str, DataFrame], models: Mapping[str, tuple[tuple[str, ...], Model]], share: bool = False
 ) -> dict[str, DataFrame]:
     """Build every model from the models and sources it names.
 
     ``models[name] = (inputs, build)`` where ``build`` receives ``{input: DataFrame}``.
-    Nothing runs here: Catalyst sees the whole chain as one plan.
+    Nothing runs here: Catalyst sees the whole chain as one plan. With ``share`` a model that others read is written
+    once and read by all of them and by whoever reads the model itself, so its sources are scanned once.
     """
     graph = {}
     for name, (inputs, _) in models.items():
@@ -34,7 +36,8 @@ def build_models(
     built: dict[str, DataFrame] = {}
     for name in order:
         inputs, build = models[name]
-        built[name] = build({i: built[i] if i in built else sources[i] for i in inputs})
+        rows = build({i: built[i] if i in built else sources[i] for i in inputs})
+        built[name] = cut_lineage(rows) if share and any(name in other for other in graph.values()) else rows
     return built
 
 

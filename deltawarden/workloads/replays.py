@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, functions as F
 from deltawarden.operators.checks import constraint_checks, input_bounds, result_bounds
 from deltawarden.operators.compare import compare_profiles, comparison_rollup
 from deltawarden.operators.decide import Policy, decide_merge
+from deltawarden.operators.guards import stopped_bounds
 from deltawarden.operators.models import build_models
 from deltawarden.operators.profile import null_rate, profile_table
 from deltawarden.plans.replay import Measures, RowModel, profile_sides, replay, replay_models, replay_rowwise
@@ -146,12 +147,12 @@ def features(inputs):
         F.when(F.col("discount_rate") > 0.08, 1).otherwise(0).alias("is_high_discount"))
 
 
-def chain(spark, sf_dir, net: str = NET) -> dict[str, DataFrame]:
+def chain(spark, sf_dir, net: str = NET, share: bool = False) -> dict[str, DataFrame]:
     return build_models({"lines": derive(spark, sf_dir, LINES, heavy=True)}, {
         "order_discount_features": (("stg_orders",), features),
         "fct_order_revenue": (("stg_orders",), fact),
         "stg_orders": (("lines",), staging(net)),
-    })
+    }, share)
 
 
 FACT_SQL = f"""
@@ -371,7 +372,8 @@ select m.model, 'metric' as category, 'total_net_revenue' as metric, round(b, 4)
 from totals, (values ('stg_orders'), ('fct_order_revenue')) m(model)""")
 def replay_models_query(spark, sf_dir):
     names = ["stg_orders", "fct_order_revenue", "order_discount_features"]
-    result = replay_models(chain(spark, sf_dir), chain(spark, sf_dir, NET_UNSAFE), MODEL_MEASURES, names)
+    sides = [chain(spark, sf_dir, net, share=True) for net in (NET, NET_UNSAFE)]
+    result = replay_models(*sides, MODEL_MEASURES, names)
     return rounded(result.differences, "before_num", "after_num", "magnitude").drop("analysis_id")
 
 
@@ -408,6 +410,20 @@ def replay_bounds(spark, sf_dir):
     return result_bounds(lines, "result", max_rows=1000).unionByName(inputs)
 
 
+@query("guard_exploding_result", """
+select 'orders x orders' as "table", 'rows' as rule, cast(100000 as bigint) as bound,
+       cast(least(count(*) * count(*), 100001) as bigint) as observed, count(*) * count(*) > 100000 as breached from orders
+union all select 'orders', 'rows', 100000, least(count(*), 100001), count(*) > 100000 from orders
+union all select 'high lines', 'rows', 100000, least(count(*), 100001), count(*) > 100000 from lineitem where l_quantity > 45""")
+def guard_exploding_result(spark, sf_dir):
+    """The product is user SQL; the guard ends it after a small multiple of its bound."""
+    orders = table(spark, sf_dir, "orders")
+    orders.createOrReplaceTempView("guarded_orders")
+    product = spark.sql("select a.o_orderkey, b.o_custkey from guarded_orders a cross join guarded_orders b")
+    high = table(spark, sf_dir, "lineitem").where("l_quantity > 45")
+    return stopped_bounds({"orders x orders": product, "orders": orders, "high lines": high}, 100_000)
+
+
 @query("constraint_checks", """
 select 'orders' as "table", 'o_orderkey' as "column", 'not_null' as rule,
        cast(count(*) filter (where o_orderkey is null) as bigint) as violations from orders
