@@ -1,13 +1,16 @@
 """Mixing sources to target weights, on DataFrame functions alone.
 
 Words are counted per source, targets are set by weight, and a source's rate is target over size. A document goes
-out floor(rate) times, plus once more when a number in [0, 1) hashed from its doc_id falls in an arc as long as the
-fraction. The number is the same in every run. Where the arc starts is chosen per source out of ``arcs`` evenly
+out floor(rate) times, plus once more when a number in [0, 1) falls in an arc as long as the
+fraction. The number is hashed from doc_id and text, so rows without a doc_id draw apart, and it is the same in every
+run. Where the arc starts is chosen per source out of ``arcs`` evenly
 spaced starts, the one whose words come nearest to the target: for each start every document has its chance equal to
 the fraction, and one aggregate over the documents weighs all starts at once.
 
+Sources can be as many as sites: their order and running sums come from range partitions and one row for each.
+
 Defined results: a null text has size 0; a null source is a source of its own, last in order; a null doc_id hashes
-like the word null; repeated rows are counted and drawn each on its own and draw alike. Sources of size 0 get target
+like the word null; rows of equal doc_id and text are counted each on its own and draw alike. Sources of size 0 get target
 0. Only doc_id, source and text are read; the other columns are left alone.
 """
 
@@ -21,10 +24,26 @@ from deltawarden.session import cut_lineage
 WEIGHTS = (5, 2, 1)
 
 
-def unit_hash(key: Column, seed: int) -> Column:
+def unit_hash(doc_id: Column, text: Column, seed: int) -> Column:
     """A number in [0, 1) from 48 bits of an MD5 hash; any SQL engine can make the same."""
-    text = F.concat(F.lit(f"{seed}:"), F.coalesce(key.cast("string"), F.lit("null")))
-    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+    key = F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null")), F.lit(":"), F.md5(text))
+    return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
+
+
+def with_sums_before(rows: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
+    """Add for every value its sum over all rows that come earlier in a total order.
+
+    Rows are dealt out by ranges of the order; only one row of sums per range meets in one place.
+    """
+    ranged = cut_lineage(rows.repartitionByRange(*order).withColumn("range_part", F.spark_partition_id()))
+    sums = ranged.groupBy("range_part").agg(*[F.sum(v).alias(n) for n, v in values.items()])
+    earlier = Window.orderBy("range_part").rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    starts = sums.select(F.col("range_part").alias("of_part"), *[
+        F.coalesce(F.sum(n).over(earlier), F.lit(0)).alias(f"{n}_start") for n in values])
+    inside = Window.partitionBy("range_part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return ranged.join(starts, F.col("range_part") == F.col("of_part")).select(
+        *rows.columns, *[(F.col(f"{n}_start") + F.coalesce(F.sum(v).over(inside), F.lit(0))).alias(n)
+                         for n, v in values.items()])
 
 
 def source_sizes(docs: DataFrame, source: str, size: str) -> DataFrame:
@@ -37,30 +56,25 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3)
 
     Weights go round by code point of the source. The target is the smaller of ``most`` times the size and one common
     level times the weight. With sources ordered by size per weight, those before some point reach their limit first,
-    and the level is what is left over the weights that remain. The windows run over one row per source.
+    and the level is what is left over the weights that remain.
     """
     # Spark compares strings by their UTF-8 bytes, which is the order of code points.
-    order = Window.orderBy(F.col("source").asc_nulls_last())
-    turn = F.pmod(F.row_number().over(order) - 1, F.lit(len(weights)))
-    weighed = sizes.withColumn("weight", F.element_at(F.array(*[F.lit(w) for w in weights]), turn + 1))
-    everyone = Window.partitionBy(F.lit(0))
-    by_limit = Window.partitionBy(F.lit(0)).orderBy(
-        F.col("source_size") / F.col("weight"), F.col("source").asc_nulls_last())
-    so_far = by_limit.rowsBetween(Window.unboundedPreceding, -1)
-    levels = weighed.select(
-        "*", F.sum("source_size").over(everyone).alias("total"),
-        F.coalesce(F.sum("source_size").over(so_far), F.lit(0)).alias("full"),
-        (F.sum("weight").over(everyone) - F.coalesce(F.sum("weight").over(so_far), F.lit(0))).alias("open_weight"))
-    level = (F.col("total") - most * F.col("full")) / F.col("open_weight")
+    by_name = F.col("source").asc_nulls_last()
+    turn = F.pmod(F.col("place"), F.lit(len(weights))).cast("int")
+    weighed = with_sums_before(sizes, [by_name], {"place": F.lit(1)}).withColumn(
+        "weight", F.element_at(F.array(*[F.lit(w) for w in weights]), turn + 1)).drop("place")
+    ratio = F.col("source_size") / F.col("weight")
+    ordered = with_sums_before(weighed, [ratio.asc(), by_name], {"full": F.col("source_size"), "taken": F.col("weight")})
+    ordered = cut_lineage(ordered)
+    total, weight = ordered.agg(F.sum("source_size"), F.sum("weight")).first()
+    level = (F.lit(total) - most * F.col("full")) / (F.lit(weight) - F.col("taken"))
     # The first source that stays below its limit fixes the level; if none does, every source is at its limit.
-    fits = F.when(level * F.col("weight") <= most * F.col("source_size"), level)
-    first = F.min(F.when(fits.isNotNull(), F.struct((F.col("source_size") / F.col("weight")).alias("at"),
-                                                    F.col("source").isNull().alias("last"), "source",
-                                                    fits.alias("level")))).over(everyone)
+    first = ordered.select(ratio.alias("ratio"), F.col("source").isNull().alias("last"), "source", level.alias("level")).where(
+        F.col("level") * ordered["weight"] <= most * ordered["source_size"]).agg(
+        F.min(F.struct("ratio", "last", "source", "level"))).first()[0]
     limit = (most * F.col("source_size")).cast("double")
-    return levels.withColumn("first_open", first).select(
-        "source", "source_size", "weight",
-        F.coalesce(F.least(limit, F.col("first_open")["level"] * F.col("weight")), limit).alias("target"))
+    common = F.lit(first["level"] if first else None).cast("double") * F.col("weight")
+    return ordered.select("source", "source_size", "weight", F.coalesce(F.least(limit, common), limit).alias("target"))
 
 
 def _extra(hashed: Column, fraction: Column, arc: Column, arcs: int) -> Column:
@@ -69,9 +83,8 @@ def _extra(hashed: Column, fraction: Column, arc: Column, arcs: int) -> Column:
     return F.when(turned - F.floor(turned) < fraction, 1).otherwise(0)
 
 
-def goals(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 42,
-          arcs: int = 64) -> DataFrame:
-    """Per source: source_size, target, base (whole copies), fraction and arc; from rows of doc_id, source, size.
+def goals(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, arcs: int = 64) -> DataFrame:
+    """Per source: source_size, target, base (whole copies), fraction and arc; from rows of source, size, hashed.
 
     One row per source, written as a table, so that Spark knows its size when it joins it.
     """
@@ -79,8 +92,7 @@ def goals(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, se
     rates = cut_lineage(targets(source_sizes(thin, "source", "size"), weights, most).select(
         F.col("source").alias("goal_source"), "source_size", "target",
         F.least(F.floor(rate), F.lit(most)).cast("bigint").alias("base"), (rate - F.floor(rate)).alias("fraction")))
-    hashed = thin.select("source", "size", unit_hash(thin["doc_id"], seed).alias("hashed"))
-    taken = hashed.join(rates, same(hashed["source"], F.col("goal_source"))).groupBy(*rates.columns).agg(*[
+    taken = thin.join(rates, same(thin["source"], F.col("goal_source"))).groupBy(*rates.columns).agg(*[
         F.sum(F.col("size") * _extra(F.col("hashed"), F.col("fraction"), F.lit(float(a)), arcs)).alias(f"arc_{a}")
         for a in range(arcs)])
     misses = F.array(*[
@@ -89,39 +101,43 @@ def goals(thin: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, se
     return cut_lineage(taken.select(*rates.columns, F.array_min(misses)["arc"].alias("arc")))
 
 
-def copies(goal: DataFrame, doc_id: Column, seed: int = 42, arcs: int = 64) -> Column:
+def copies(goal: DataFrame, hashed: Column, arcs: int = 64) -> Column:
     """How often a row goes out, once it is joined to the goals of its source."""
-    return goal["base"] + _extra(unit_hash(doc_id, seed), goal["fraction"], goal["arc"].cast("double"), arcs)
+    return goal["base"] + _extra(hashed, goal["fraction"], goal["arc"].cast("double"), arcs)
 
 
-def sized(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
-    """doc_id, source and size in words of every row, written once; texts go no further."""
+def sized(docs: DataFrame, seed: int = 42, doc_id: str = "doc_id", source: str = "source",
+          text: str = "text") -> DataFrame:
+    """doc_id, source, size in words and the hashed number of every row, written once; texts go no further."""
+    whole = whole_text(docs, text)
     return cut_lineage(docs.select(
         docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"),
-        F.regexp_count(whole_text(docs, text), F.lit(WORD)).cast("bigint").alias("size")))
+        F.regexp_count(whole, F.lit(WORD)).cast("bigint").alias("size"),
+        unit_hash(docs[doc_id], whole, seed).alias("hashed")))
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 42,
              arcs: int = 64) -> DataFrame:
     """doc_id, source, size, source_size, target and copies of every document."""
-    thin = sized(docs)
-    goal = goals(thin, weights, most, seed, arcs)
+    thin = sized(docs, seed)
+    goal = goals(thin, weights, most, arcs)
     return thin.join(goal, same(thin["source"], goal["goal_source"])).select(
         "doc_id", "source", "size", "source_size", "target",
-        copies(goal, thin["doc_id"], seed, arcs).cast("bigint").alias("copies"))
+        copies(goal, thin["hashed"], arcs).cast("bigint").alias("copies"))
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 42, arcs: int = 64,
         doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
     """The mixed corpus: every row as often as it is drawn, with the columns it came with.
 
-    A row's copies follow from its doc_id and the goals of its source, so texts are read once more and not shuffled
-    where Spark broadcasts the goals.
+    A row's copies follow from its doc_id, its text and the goals of its source, so texts are read once more and not
+    shuffled where Spark broadcasts the goals.
     """
-    goal = goals(sized(docs, doc_id, source, text), weights, most, seed, arcs)
-    key, whole = "goal_key", F.struct(*[docs[c] for c in docs.columns])
-    rows = docs.select(whole.alias("whole"), docs[source].cast("string").alias(key))
+    goal = goals(sized(docs, seed, doc_id, source, text), weights, most, arcs)
+    key, drawn_by, whole = "goal_key", "goal_hashed", F.struct(*[docs[c] for c in docs.columns])
+    rows = docs.select(whole.alias("whole"), docs[source].cast("string").alias(key),
+                       unit_hash(docs[doc_id], whole_text(docs, text), seed).alias(drawn_by))
     drawn = rows.join(goal, same(rows[key], goal["goal_source"])).select(
-        "whole", copies(goal, F.col("whole")[doc_id], seed, arcs).alias("copies"))
+        "whole", copies(goal, rows[drawn_by], arcs).alias("copies"))
     return drawn.where("copies > 0").select(
         "whole", F.explode(F.sequence(F.lit(1), F.col("copies").cast("int"))).alias("copy")).select("whole.*")

@@ -20,7 +20,9 @@ SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS te
 
 _MIX = r"""
 WITH thin AS (
-    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size FROM documents
+    SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+           md5('42:' || coalesce(doc_id::VARCHAR, 'null') || ':' || md5(coalesce(text, ''))) AS hash
+    FROM documents
 ), sizes AS (
     SELECT source, sum(size)::BIGINT AS source_size,
            [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3)::INTEGER + 1] AS weight
@@ -41,7 +43,7 @@ WITH thin AS (
 ), hashed AS (
     SELECT doc_id, thin.source, size, source_size, target, least(floor(rate), 3)::BIGINT AS base,
            rate - floor(rate) AS fraction,
-           ('0x' || substr(md5('42:' || coalesce(doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
+           ('0x' || substr(hash, 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS u
     FROM thin JOIN rates ON thin.source IS NOT DISTINCT FROM rates.source
 ), arcs AS (
     SELECT source, arc, abs(any_value(base * source_size) + sum(CASE
