@@ -254,6 +254,35 @@ def test_mix_of_nothing(spark):
     assert [(p.size, p.copies, p.target) for p in mixing.plan_mix(empty).collect()] == [(0, 0, 0.0)] * 2
 
 
+def test_targets_hold_where_a_third_of_the_ids_is_null(spark):
+    r = random.Random(12)
+    rows = [(None if r.random() < 1 / 3 else i, " ".join(["w"] * r.randint(1, 200)) + f" {i}", "en",
+             r.choice(["a", "a", "a", "b", "c", "d", None]), 0) for i in range(4000)]
+    plan = mixing.plan_mix(spark.createDataFrame(rows, SCHEMA)).groupBy("source").agg(
+        F.sum(F.col("size") * F.col("copies")).alias("taken"), F.max("target").alias("target")).collect()
+    assert len(plan) == 5 and all(abs(p["taken"] / p["target"] - 1) < 0.02 for p in plan)
+
+
+def test_targets_of_many_sources(spark):
+    """Ranges of sources give the same weights and targets as one sorted list."""
+    r = random.Random(13)
+    sizes = {f"s{k:03d}": r.choice([0, 1, 5, r.randint(1, 10_000)]) for k in range(300)} | {None: 77}
+    frame = spark.createDataFrame(list(sizes.items()), "source string, source_size bigint").repartition(5)
+    got = {x["source"]: (x["weight"], x["target"]) for x in mixing.targets(frame).collect()}
+    names = sorted(sizes, key=lambda s: (s is None, s or ""))
+    weight = {n: (5, 2, 1)[i % 3] for i, n in enumerate(names)}
+    open_, left = set(names), sum(sizes.values())
+    while True:  # raise all targets together; those over their limit stop there
+        level = left / sum(weight[n] for n in open_) if open_ else 0
+        over = {n for n in open_ if level * weight[n] > 3 * sizes[n]}
+        if not over:
+            break
+        open_ -= over
+        left -= sum(3 * sizes[n] for n in over)
+    want = {n: (weight[n], level * weight[n] if n in open_ else 3 * sizes[n]) for n in names}
+    assert all(got[n][0] == want[n][0] and math.isclose(got[n][1], want[n][1], abs_tol=1e-6) for n in names)
+
+
 def test_pipeline_stages(spark, tokenizer):
     r = random.Random(6)
     vocabulary = ["".join(r.choice("abcdefghiklmnoprstu") for _ in range(r.randint(1, 8))) for _ in range(3000)]
