@@ -5,9 +5,11 @@ of one path look alike in a layout, so the path is judged, not the block: text l
 summed per path and divided by its number of blocks. The ratios are smoothed over the page order with a Gaussian, fused
 into one score, and paths that stay above a threshold from the spread of the scores carry the content. A short
 paragraph is kept with the path of the long ones. What page authors mark as something else (menus, headers, footers,
-sidebars, notices, adverts, forms, comments, hidden parts) is left out before paths are judged. The element that holds
-the content is then taken: its blocks on chosen paths; its lists, tables, quotations and figures whose linked text is
-at most half of their text, each as a whole; and its headings, but for one that mostly linked text follows.
+sidebars, notices, adverts, forms, comments, hidden parts) is left out before paths are judged; a name that has other
+words in it as well, such as social-history, counts only if the text agrees: mostly linked, or without punctuation. The
+element that holds the content is then taken: its blocks on chosen paths, but for those that are mostly linked text
+themselves; its lists, tables, quotations and figures whose linked text is at most half of their text, each as a whole;
+and its headings, but for one that mostly linked text follows.
 
 Defined results: a null or empty page, or one without text, has an empty text; broken markup is read as far as it
 goes; repeated rows are extracted each on its own. White space inside a block becomes one space, blocks are joined by
@@ -50,10 +52,16 @@ ENDS_INSIDE = {"li": {"ul", "ol", "menu", "dir"}, "dt": {"dl"}, "dd": {"dl"}, "t
 COMMENTS = frozenset("comment comments commentlist commentary disqus discussion replies responses respond".split())
 MARKED = COMMENTS | frozenset((
     "ad ads advert adverts advertisement advertising adsense adbox adslot alert announcement banner breadcrumb "
-    "breadcrumbs captcha consent cookie cookies copyright dfp dialog disclaimer footer gdpr hidden login masthead menu "
+    "breadcrumbs captcha consent cookie cookies copyright dfp disclaimer footer gdpr hidden login masthead menu "
     "modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo "
     "promotion promoted recommendations recommended related share sharing sidebar signup skip social sponsor sponsored "
     "subscribe subscription toolbar topbar widget widgets").split())
+# What stands beside a marked word without changing what the part is; other words make the mark a weak one.
+BESIDE = frozenset((
+    "a area article articles bar block body bottom box btn button col column container content desktop div fixed global group "
+    "header in inline inner item items js left line link links list m main mobile more news nested outer page panel post "
+    "posts primary right row secondary section site small sticky sub text the title top ul unit widget wrap wrapper xl xs"
+    ).split())
 ROLES = frozenset((
     "alert alertdialog banner complementary contentinfo dialog form menu menubar navigation search toolbar").split())
 SPACE = re.compile(r"\s+")
@@ -76,14 +84,16 @@ class PathRules:
 class Element:
     tag: str
     parent: int
-    path: str
-    block: bool
-    mark: str = ""  # why it is no content: "tag", "wrap" (a form or hidden), "name", "comment", "header"
+    path: int  # number of the path of block tags from the root
+    container: int  # the nearest block element, itself included
+    mark: str = ""  # why it is no content: "tag", "wrap" (a form or hidden), "name", "weak", "comment", "header"
     own: bool = False  # whether the mark is its own and not that of an element around it
     main: bool = False
     holds_main: bool = False  # an article, the main part or the first heading
     holds_top: bool = False  # the main part or the first heading; comments can be articles, too
     text: int = 0
+    linked: int = 0
+    stops: int = 0  # punctuation marks
 
 
 @dataclass
@@ -92,6 +102,7 @@ class Block:
     parts: list[str] = field(default_factory=list)
     linked: int = 0
     text: str = ""
+    stops: int = 0
 
 
 class PageReader(HTMLParser):
@@ -101,7 +112,8 @@ class PageReader(HTMLParser):
         super().__init__(convert_charrefs=True)
         # End tags to come: a silent element that none of them can close holds nothing.
         self.ends = Counter(END_TAG.findall(html.lower()))
-        self.elements = [Element("#root", -1, "", True)]
+        self.elements = [Element("#root", -1, 0, 0)]
+        self.paths: dict[tuple[int, str], int] = {}
         self.stack = [0]
         self.silent: list[str] = []
         self.links = 0
@@ -130,26 +142,23 @@ class PageReader(HTMLParser):
             self.links += 1
         parent = self.stack[-1]
         above = self.elements[parent]
-        element = Element(tag, parent, f"{above.path}/{tag}" if block else above.path, block, above.mark,
-                          main=above.main)
-        if element.mark in ("", "wrap") or attrs:
+        path = self.paths.setdefault((above.path, tag), len(self.paths) + 1) if block else above.path
+        element = Element(tag, parent, path, len(self.elements) if block else above.container, above.mark, main=above.main)
+        if element.mark in ("", "wrap", "weak") or attrs:
             self._mark(element, dict(attrs))
         if element.tag in ("article", "main") or tag == "h1":
-            top, up = element.tag != "article", parent
-            while up > 0:
-                self.elements[up].holds_main = True
-                self.elements[up].holds_top |= top
-                up = self.elements[up].parent
+            above.holds_main, above.holds_top = True, above.holds_top or element.tag != "article"
         self.elements.append(element)
         self.stack.append(len(self.elements) - 1)
 
     def _mark(self, element: Element, attrs: dict[str, str | None]) -> None:
         tag = element.tag
         names = f"{attrs.get('class') or ''} {attrs.get('id') or ''}"
-        parts = {p.lower() for p in NAME_PARTS.findall(names)} if names.strip() else set()
+        tokens = [{p.lower() for p in NAME_PARTS.findall(name)} for name in names.split()]
+        parts = set().union(*tokens)
         if element.mark != "comment" and parts & COMMENTS and tag not in ("body", "html"):
             element.mark, element.own = "comment", True
-        if element.mark not in ("", "wrap"):
+        if element.mark not in ("", "wrap", "weak"):
             return
         role, own = (attrs.get("role") or "").lower(), ""
         if tag in ASIDE or role in ROLES and role != "form":
@@ -158,7 +167,8 @@ class PageReader(HTMLParser):
                 NOT_SHOWN.search(attrs.get("style") or "")):
             own = "wrap"
         elif parts & MARKED and tag not in ("body", "html", "main"):
-            own = "name"
+            # A token of marked words, such as cookie-notice, or one that has another word, such as social-history.
+            own = "name" if any(t & MARKED and t <= MARKED | BESIDE for t in tokens) else "weak"
         elif tag == "header":
             own = "header"  # of the page, or of an article: then its headings count
         if own:
@@ -190,7 +200,7 @@ class PageReader(HTMLParser):
         for at in self.stack[depth:]:
             if self.elements[at].tag == "a":
                 self.links -= 1
-            if self.elements[at].block:
+            if self.elements[at].container == at:
                 self.current = None
         del self.stack[depth:]
 
@@ -222,9 +232,7 @@ class PageReader(HTMLParser):
         if self.current is None:
             if not data.strip():
                 return
-            at = self.stack[-1]
-            while not self.elements[at].block:
-                at = self.elements[at].parent
+            at = self.elements[self.stack[-1]].container
             # Inline parts with a mark of their own, such as a hidden span, are blocks of their own.
             self.current = Block(at)
             self.blocks.append(self.current)
@@ -244,10 +252,12 @@ class PageReader(HTMLParser):
             self.current.parts.append(" ")
 
 
-def _inside(elements: list[Element], at: int, root: int) -> bool:
-    while at > root:
-        at = elements[at].parent
-    return at == root
+def _under(elements: list[Element], root: int) -> list[bool]:
+    """For every element whether it is the root or stands under it. Parents come before their children."""
+    found = [False] * len(elements)
+    for at in range(root, len(elements)):
+        found[at] = at == root or elements[at].parent >= root and found[elements[at].parent]
+    return found
 
 
 def smoothed(values: np.ndarray, spread: float) -> np.ndarray:
@@ -258,21 +268,21 @@ def smoothed(values: np.ndarray, spread: float) -> np.ndarray:
     return np.convolve(values, kernel)[radius:len(values) + radius] / weight
 
 
-def content_paths(blocks: list[Block], elements: list[Element], rules: PathRules) -> set[str]:
+def content_paths(blocks: list[Block], elements: list[Element], rules: PathRules) -> set[int]:
     """The paths whose fused, smoothed ratios reach the threshold."""
-    paths: dict[str, list[float]] = {}
+    paths: dict[int, list[float]] = {}
     for b in blocks:
         sums = paths.setdefault(elements[b.element].path, [0.0, 0.0, 0.0, 0.0])
         sums[0] += 1
         sums[1] += len(b.text)
-        sums[2] += len(PUNCTUATION.findall(b.text))
+        sums[2] += b.stops
         sums[3] += min(b.linked, len(b.text))
     of_block = [paths[elements[b.element].path] for b in blocks]
     lengths = smoothed(np.array([s[1] / s[0] for s in of_block]), rules.spread)
     marks = smoothed(np.array([s[2] / s[0] for s in of_block]), rules.spread)
     free = np.array([1 - s[3] / s[1] for s in of_block])
     fused = lengths * np.log1p(marks) * free
-    scores: dict[str, list[float]] = {}
+    scores: dict[int, list[float]] = {}
     for b, score in zip(blocks, fused.tolist(), strict=True):
         scores.setdefault(elements[b.element].path, []).append(score)
     limit = rules.threshold * float(fused.std())
@@ -282,21 +292,22 @@ def content_paths(blocks: list[Block], elements: list[Element], rules: PathRules
         max(mean, key=lambda p: (mean[p], paths[p][1]))}
 
 
-def main_blocks(blocks: list[Block], elements: list[Element], root: int, chosen: set[str],
+def main_blocks(blocks: list[Block], elements: list[Element], root: int, chosen: set[int],
                 rules: PathRules) -> list[Block]:
     """What stays of the blocks of the main element: see the head of this module."""
-    units, sums = [], {}
-    for b in blocks:
-        unit, at = -1, b.element
-        while at > root:  # the outermost list, table, quotation or figure
-            unit = at if elements[at].tag in UNITS else unit
-            at = elements[at].parent
-        units.append(unit)
+    outer = [-1] * len(elements)  # the outermost list, table, quotation or figure under the root
+    for at in range(root + 1, len(elements)):
+        above = elements[at].parent
+        outer[at] = outer[above] if above > root and outer[above] >= 0 else at if elements[at].tag in UNITS else -1
+    units, sums = [outer[b.element] for b in blocks], {}
+    for b, unit in zip(blocks, units, strict=True):
         total = sums.setdefault(unit, [0, 0])
         total[0] += len(b.text)
         total[1] += min(b.linked, len(b.text))
-    keep = [elements[b.element].path in chosen or (
-        unit >= 0 and sums[unit][1] <= rules.linked * sums[unit][0]) for b, unit in zip(blocks, units, strict=True)]
+    # A path is judged by all its blocks; one that is mostly linked text itself is no part of the running text.
+    keep = [sums[unit][1] <= rules.linked * sums[unit][0] if unit >= 0 else
+            elements[b.element].path in chosen and b.linked <= rules.linked * len(b.text)
+            for b, unit in zip(blocks, units, strict=True)]
     linked = True  # whether mostly linked text, or nothing, follows
     for i in range(len(blocks) - 1, -1, -1):
         b = blocks[i]
@@ -322,57 +333,64 @@ def extract(html: str, rules: PathRules = PathRules()) -> str:
     for b in reader.blocks:
         b.text = SPACE.sub(" ", "".join(b.parts)).strip()
         if b.text:
+            b.stops = len(PUNCTUATION.findall(b.text))
             blocks.append(b)
-            at = b.element
-            while at >= 0:
-                elements[at].text += len(b.text)
-                at = elements[at].parent
+            e = elements[b.element]
+            e.text, e.linked, e.stops = e.text + len(b.text), e.linked + min(b.linked, len(b.text)), e.stops + b.stops
     if not blocks:
         return ""
+    for e in reversed(elements[1:]):  # children come after their parents
+        above = elements[e.parent]
+        above.text, above.linked, above.stops = above.text + e.text, above.linked + e.linked, above.stops + e.stops
+        above.holds_main, above.holds_top = above.holds_main or e.holds_main, above.holds_top or e.holds_top
     total = elements[0].text
 
-    def left_out(at: int) -> bool:
-        """Whether the element or one around it is marked, and the mark is to be believed."""
-        heading = elements[at].tag in HEADINGS
-        while at > 0:
-            e = elements[at]
-            own = e.own
-            if own and e.mark in ("tag", "comment") and not (e.mark == "comment" and e.holds_top):
-                return True
-            if own and e.mark in ("name", "wrap") and not e.holds_main and 2 * e.text <= total:
-                return True
-            if own and e.mark == "header" and not (heading and elements[e.parent].main):
-                return True
-            at = e.parent
-        return False
-
-    verdicts: dict[int, bool] = {}
-    for b in blocks:
-        if b.element not in verdicts:
-            verdicts[b.element] = left_out(b.element)
+    def left_out(e: Element) -> bool:
+        """Whether the element is marked itself, and the mark is to be believed; headers aside."""
+        if not e.own:
+            return False
+        if e.mark in ("tag", "comment"):
+            return not (e.mark == "comment" and e.holds_top)
+        if e.mark in ("name", "wrap"):
+            return not e.holds_main and 2 * e.text <= total
+        # A weak name needs the text to agree: mostly linked, or not a single sentence.
+        return e.mark == "weak" and not e.holds_main and (e.linked > rules.linked * e.text or not e.stops)
+
+    verdicts = [False] * len(elements)
+    titled = [False] * len(elements)  # in a header of the article, whose headings count
+    for at in range(1, len(elements)):
+        e = elements[at]
+        header = e.own and e.mark == "header"
+        of_main = header and elements[e.parent].main
+        verdicts[at] = verdicts[e.parent] or left_out(e) or header and not of_main
+        titled[at] = titled[e.parent] or of_main
+    verdicts = {b.element: verdicts[b.element] or titled[b.element] and elements[b.element].tag not in HEADINGS
+                for b in blocks}
     open_blocks = [b for b in blocks if not verdicts[b.element]]
     if not open_blocks:
         return ""
     chosen = content_paths(open_blocks, elements, rules)
     selected = [b for b in open_blocks if elements[b.element].path in chosen]
-    weight: dict[int, int] = {}
+    weigh = [0] * len(elements)
     for b in selected:
-        at = b.element
-        while at >= 0:
-            weight[at] = weight.get(at, 0) + len(b.text)
-            at = elements[at].parent
+        weigh[b.element] += len(b.text)
+    for at in range(len(elements) - 1, 0, -1):
+        weigh[elements[at].parent] += weigh[at]
+    weight = {at: w for at, w in enumerate(weigh) if w}
     whole = weight[0]
     # The main element with the most selected text, the innermost of equals; else the deepest that holds most of it.
     named = [at for at in weight if elements[at].main and (elements[at].tag in ("article", "main") or not elements[
-        elements[at].parent].main) and elements[at].mark in ("", "wrap")]
+        elements[at].parent].main) and elements[at].mark in ("", "wrap", "weak")]
     if named:
         best = max(weight[at] for at in named)
         root = max(at for at in named if 10 * weight[at] >= 9 * best)
         if 4 * weight[root] >= whole:
-            inside = [b for b in open_blocks if _inside(elements, b.element, root)]
+            under = _under(elements, root)
+            inside = [b for b in open_blocks if under[b.element]]
             return "\n".join(b.text for b in main_blocks(inside, elements, root, chosen, rules))
-    root = max((at for at in weight if 10 * weight[at] >= 9 * whole and elements[at].block), default=0)
-    inside = [b for b in open_blocks if _inside(elements, b.element, root)]
+    root = max((at for at in weight if 10 * weight[at] >= 9 * whole and elements[at].container == at), default=0)
+    under = _under(elements, root)
+    inside = [b for b in open_blocks if under[b.element]]
     keep = [elements[b.element].path in chosen for b in inside]
     first, last = keep.index(True), len(keep) - 1 - keep[::-1].index(True)
     while first > 0 and elements[inside[first - 1].element].tag in HEADINGS:

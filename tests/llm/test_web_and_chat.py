@@ -3,6 +3,8 @@
 import datetime as dt
 import random
 import re
+import time
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -238,3 +240,42 @@ def test_preference_pairs(spark):
     assert row.rejected[start:end] == "else<|im_end|>" and len(row.chosen_spans) == 1
     plan = pairs._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Arrow|Pandas", plan)
+
+
+BODY = "<p>A long sentence, with words in it, and some more of them. Another one follows here.</p>" * 4
+
+
+def inside_article(part):
+    page = (f"<html><body><nav><a href=x>home</a></nav><article><h1>Title</h1>{BODY}{part}"
+            "<p>The end of it, with a last sentence here.</p></article></body></html>")
+    return tagpaths.extract(page).split("\n")[5:-1]
+
+
+@pytest.mark.parametrize("part", [
+    '<p class="social-history">The social history of the town is long, and full.</p>',
+    '<div class="widget-theory">The theory of widgets, in short, is sound.</div>',
+    '<div class="dialog">She said, come in, and sat down.</div>',
+    '<p>It says so <a href=x>there</a>, and in other places, too.</p>'])
+def test_a_word_in_a_class_name_does_not_delete_sentences(part):
+    assert len(inside_article(part)) == 1
+
+
+@pytest.mark.parametrize("part", [
+    '<p>Read also <a href=x>Ten ways of doing it, now</a></p>', '<div class="cookie-notice">We use cookies, and more.</div>',
+    '<div class="social-share-2"><a>Share</a> <a>Tweet</a></div>', '<div class="related posts"><a>One more</a></div>',
+    '<div class="promo-of-the-week">Only now</div>'])
+def test_linked_and_marked_parts_of_an_article_are_left_out(part):
+    assert inside_article(part) == []
+
+
+@pytest.mark.parametrize("page", [
+    "<div>" * 20_000 + "<p>A sentence, of text.</p>",
+    "".join("<div><p>Words, and more words here.</p>" for _ in range(4000)),
+    "<p>" + "<span>" * 20_000 + "A sentence, of text."])
+def test_deep_pages_take_bounded_memory_and_time(page):
+    started = time.process_time()
+    tracemalloc.start()
+    assert tagpaths.extract(page)
+    assert tracemalloc.get_traced_memory()[1] < 50_000_000
+    tracemalloc.stop()
+    assert time.process_time() - started < 30
