@@ -39,11 +39,15 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
                       dtype: str = "<u2", doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Write one flat file per task; return doc_id, file, doc_index of every document, as a written table.
 
-    The strings of special tokens in a text are ordinary text, so the end id stands only between documents. A file is
+    A token id that ``dtype`` cannot hold is an error: it would be written as another id, or as a separator. The
+    strings of special tokens in a text are ordinary text, so the end id stands only between documents. A file is
     written under a name of its attempt and then renamed, so a task that runs again leaves the same file.
     """
     rows = docs.select(docs[doc_id].alias("doc_id"), whole_text(docs, text).alias("text"))
     key = rows.schema["doc_id"].dataType.simpleString()
+    most = np.iinfo(dtype).max
+    if not 0 <= end <= most:
+        raise ValueError(f"the end id {end} does not fit {dtype}")
     mark = np.array([end], dtype).tobytes()
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -57,6 +61,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str = "word_bpe_4
             for batch in batches:
                 for item in batch.column(1):
                     ids = np.frombuffer(text_ids(item.as_py(), table), "<u4")
+                    if ids.max(initial=0) > most:
+                        raise ValueError(f"token id {ids.max()} does not fit {dtype}; use a wider type")
                     out.write(ids.astype(dtype).tobytes() + mark)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), pa.array([name] * batch.num_rows, pa.string()),
