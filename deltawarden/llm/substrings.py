@@ -26,7 +26,7 @@ from itertools import compress
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from deltawarden.llm.common import same, whole_text
 from deltawarden.llm.wavelet import FMIndex, repeated_windows
@@ -218,9 +218,11 @@ def repeated_spans(rows: DataFrame, rules: PassageRules) -> DataFrame:
     spans: flat pairs (first word, last word), not yet merged.
     """
     hot = crowded_anchors(rows, rules)
-    found = anchored_runs(rows, rules, hot)
-    together = F.sum(F.size("firsts")).over(Window.partitionBy("anchor"))
-    shared = cut_lineage(found.withColumn("together", together).where("together > 1").drop("together"))
+    found = cut_lineage(anchored_runs(rows, rules, hot))
+    # Counts come from partial sums and meet the runs again in a join, so no task needs all runs of an anchor.
+    together = cut_lineage(found.groupBy(F.col("anchor").alias("of_anchor")).agg(F.sum(F.size("firsts")).alias("n")).where(
+        "n > 1").select("of_anchor"))
+    shared = cut_lineage(found.join(together, F.col("anchor") == F.col("of_anchor"), "left_semi"))
 
     # Each distinct run once, from the first document that has it.
     distinct = shared.groupBy("anchor", "content").agg(

@@ -279,3 +279,11 @@ def test_deep_pages_take_bounded_memory_and_time(page):
     assert tracemalloc.get_traced_memory()[1] < 50_000_000
     tracemalloc.stop()
     assert time.process_time() - started < 30
+
+
+def test_ids_that_do_not_fit_are_an_error(spark):
+    docs = spark.createDataFrame([(1, "hello there")], "doc_id bigint, text string")
+    with pytest.raises(Exception, match="does not fit"):
+        separators.write_token_files(docs, scratch_path(spark, "narrow"), end=7, dtype="|u1")
+    with pytest.raises(ValueError, match="end id"):
+        separators.write_token_files(docs, scratch_path(spark, "narrow"), end=70_000)
