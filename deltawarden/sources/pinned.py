@@ -34,7 +34,7 @@ class PinnedInput:
         """``(path, problem)``: pinned files that are missing, or have another size or time than when pinned."""
         now = self.rows.sparkSession.read.format("binaryFile").option("recursiveFileLookup", "true").load(self.location)
         # The content column is not selected, so files are listed and not read.
-        now = now.select(_bare(F.col("path")).alias("path"), F.col("length").alias("size_now"),
+        now = now.select(bare_path(F.col("path")).alias("path"), F.col("length").alias("size_now"),
                          F.col("modificationTime").alias("modified_now"))
         compared = self.files.join(now, "path", "left")
         return compared.select("path", F.when(F.col("size_now").isNull(), "removed").when(
@@ -47,19 +47,19 @@ class PinnedInput:
             raise InputChangedError(f"input {found['path']} was {found['problem']} during the replay")
 
 
-def _bare(path: Column) -> Column:
+def bare_path(path: Column) -> Column:
     """A path without scheme and host, as readers spell these differently."""
     return F.regexp_replace(path, r"^[A-Za-z0-9+.-]+:(//[^/]*)?/+", "/")
 
 
-def _decoded(path: Column) -> Column:
+def decoded_path(path: Column) -> Column:
     """The metadata column has paths as URIs; in these a plus sign stands for itself."""
     return F.url_decode(F.replace(path, F.lit("+"), F.lit("%2B")))
 
 
 def pin(rows: DataFrame, location: str) -> PinnedInput:
     """Pin the files of a DataFrame read from ``location``. No column is read for the list."""
-    seen = rows.select(_bare(_decoded(F.col("_metadata.file_path"))).alias("path"), F.col("_metadata.file_size").alias("size"),
+    seen = rows.select(bare_path(decoded_path(F.col("_metadata.file_path"))).alias("path"), F.col("_metadata.file_size").alias("size"),
                        F.col("_metadata.file_modification_time").alias("modified"))
     return PinnedInput(rows, cut_lineage(seen.distinct()), location)
 

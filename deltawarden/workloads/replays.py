@@ -10,8 +10,9 @@ from deltawarden.operators.decide import Policy, decide_merge
 from deltawarden.operators.guards import stopped_bounds
 from deltawarden.operators.models import build_models
 from deltawarden.operators.profile import null_rate, profile_table
+from deltawarden.operators.stored_profile import State, StoredMeasures, StoredProfile
 from deltawarden.plans.replay import Measures, RowModel, profile_sides, replay, replay_models, replay_rowwise
-from deltawarden.session import with_key
+from deltawarden.session import cut_lineage, scratch_path, with_key
 from deltawarden.workloads.inputs import LINES, derive, query, table
 
 PERCENT = "coalesce(discount_percentage, cast(0 as decimal(5,2)))"
@@ -195,6 +196,35 @@ def profile_query(spark, sf_dir):
     return rounded(profile_table(rows, REVENUE.metrics, REVENUE.distributions), "num_value")
 
 
+STORED = StoredMeasures(
+    {"net": State("sum", "net_revenue"), "n": State("count", "net_revenue"),
+     "returned": State("sum", "net_revenue", "customer_segment = 'R'")},
+    {"total_revenue": "net", "average_revenue": "cast(net as double) / n"},
+    {"returned_share": "cast(returned as double) / nullif(cast(net as double), 0)"}, {"near_median": "net_revenue"}, k=800)
+
+
+@query("profile_appended", f"""
+select category, metric, round(num_value, 4) as num_value, text_value
+from ({oracle_profile(oracle_model(NET), REVENUE_TYPES, [m for m in ORACLE_REVENUE if m[1] != 'median_revenue'])}) p
+union all select 'distribution', 'near_median within 1 % of ranks', 1, null""")
+def profile_appended(spark, sf_dir):
+    """Profiled, appended to, profiled again: the second time only the appended order lines are read."""
+    rows = EXACT_BEFORE.apply(derive(spark, sf_dir, LINES, heavy=True))
+    path = scratch_path(spark, "lines")
+    stored = StoredProfile(spark, path, scratch_path(spark, "states"), STORED)
+    rows.where("order_id % 100 <> 7").write.parquet(path)
+    stored.refresh()
+    rows.where("order_id % 100 = 7").write.mode("append").parquet(path)
+    profile = cut_lineage(stored.refresh())
+    median = profile.where("metric = 'near_median'").select(F.col("num_value").alias("median"))
+    near = rows.join(F.broadcast(median)).agg(
+        F.abs(F.count_if(F.col("net_revenue").cast("double") <= F.col("median")) / F.count("net_revenue") - 0.5).alias("off"))
+    told = near.select(F.lit("distribution").alias("category"), F.lit("near_median within 1 % of ranks").alias("metric"),
+                       F.when(F.col("off") <= 0.01, 1.0).otherwise(0.0).alias("num_value"),
+                       F.lit(None).cast("string").alias("text_value"))
+    return rounded(profile.where("metric <> 'near_median'"), "num_value").unionByName(told)
+
+
 @query("null_rates", f"""
 select customer_segment, round(100.0 * count(*) filter (where discount_percentage is null) / count(*), 6) as discount_nulls,
        round(100.0 * count(*) filter (where nullif(line_number, 3) is null) / count(*), 6) as line_nulls,
