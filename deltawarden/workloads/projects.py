@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from deltawarden.operators.cycles import strongly_connected
 from deltawarden.plans.project import Project, ProjectModel, replay_revisions
 from deltawarden.plans.replay import Measures
-from deltawarden.workloads.inputs import query, table
+from deltawarden.workloads.inputs import derive, query, table
 from deltawarden.workloads.replays import oracle_compare, oracle_profile, rounded
 
 LINES_SQL = """select l_orderkey as order_id, l_partkey as part_id, l_returnflag as segment,
@@ -122,3 +123,28 @@ def replay_from_texts(spark, sf_dir):
     rows = found.execution.join(found.differences, "analysis_id", "left")
     return rounded(rows, "before_num", "after_num", "magnitude").select(
         "analysis_id", "execution_status", "model", "category", "metric", "before_num", "after_num", "magnitude", "breached")
+
+
+# Parts of a decade refer to the next one; every third decade closes to a ring, and one in seven parts to itself.
+REFERENCES = """
+select 'p' || cast(p_partkey as string) as src, 'p' || cast(coalesce(
+         lead(p_partkey) over (partition by floor(p_partkey / 10) order by p_partkey),
+         case when cast(floor(p_partkey / 10) as bigint) % 3 = 0
+              then min(p_partkey) over (partition by floor(p_partkey / 10)) end) as string) as dst from [[part]]
+union all select 'p' || cast(p_partkey as string), 'p' || cast(p_partkey as string) from [[part]] where p_partkey % 7 = 0
+union all select 'o' || cast(l_orderkey as string), 'p' || cast(l_partkey as string) from [[lineitem]]
+union all select 'p' || cast(l_partkey as string), 's' || cast(l_suppkey as string) from [[lineitem]]
+"""
+
+
+@query("reference_cycles", """
+with rings as (
+  select floor(p_partkey / 10) as g, min('p' || cast(p_partkey as varchar)) as component from part
+  where cast(floor(p_partkey / 10) as bigint) % 3 = 0 group by 1)
+select component, 'p' || cast(p_partkey as varchar) as vertex from part join rings on floor(p_partkey / 10) = g
+union all
+select 'p' || cast(p_partkey as varchar), 'p' || cast(p_partkey as varchar) from part
+where p_partkey % 7 = 0 and cast(floor(p_partkey / 10) as bigint) % 3 <> 0""")
+def reference_cycles(spark, sf_dir):
+    """Every vertex on a cycle of a reference graph with an edge for each order line."""
+    return strongly_connected(derive(spark, sf_dir, REFERENCES))
