@@ -8,7 +8,8 @@ from deltawarden.functions import urns as U
 from deltawarden.operators.consumers import (
     affected_owners, classify_consumers, match_consumers, merge_consumers, only_affected, related_assets,
 )
-from deltawarden.operators.identity import column_presence, normalize_catalog, resolve_identity, tied_candidates
+from deltawarden.operators.identity import (
+    column_presence, normalize_catalog, resolve_identity, tied_candidates, top_candidates)
 from deltawarden.operators.lineage import column_lineage_consumers, downstream_lineage, lineage_stats
 from deltawarden.operators.models import affected_models, model_ref_edges
 from deltawarden.plans.context import change_context, enrich_consumers
@@ -239,6 +240,21 @@ def identity_ambiguity(spark, sf_dir):
         F.col("columns_norm")[0].alias("want_a"), F.col("columns_norm")[1].alias("want_b"), "urn", "score")
 
 
+@query("identity_candidates", SCORED + f"""
+, requests as (
+  select distinct lower(trim(both '"' from h.hint)) as hint, coalesce(h.platform_hint, '') as platform, h.want_a,
+         lower(want_b) as want_b, urn, score
+  from ranked r join ({HINTS}) h on h.number = r.asked)
+select hint, platform, want_a, want_b, urn, score,
+       row_number() over (partition by hint, platform, want_a, want_b order by score desc, urn) as rank
+from requests qualify rank <= 5""")
+def identity_candidates(spark, sf_dir):
+    best = top_candidates(hints(spark, sf_dir), catalog(spark, sf_dir), 5)
+    return best.select(
+        F.col("hint_norm").alias("hint"), F.col("platform_norm").alias("platform"),
+        F.col("columns_norm")[0].alias("want_a"), F.col("columns_norm")[1].alias("want_b"), "urn", "score", "rank")
+
+
 @query("column_presence", f"""
 select d.urn, h.want_a as wanted, h.want_a = lower(d.field_a) as present
 from ({DATASETS}) d join ({HINTS}) h on h.number = d.number
