@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
 # The white space that separates words, as single bytes and as a pattern for a word.
@@ -42,3 +44,13 @@ def slices(data: bytes, size: int = 1 << 22, end: bytes = b" ") -> Iterator[byte
         stop = len(data) if stop < 0 else stop
         yield data[start:stop]
         start = stop + 1
+
+
+def give_back() -> None:
+    """Return memory that is not in use to the system: Spark keeps a worker for a while after its last task, and the
+    tasks that come next may need the memory elsewhere."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # another C library
+        pass
