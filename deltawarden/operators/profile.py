@@ -105,7 +105,7 @@ def profile_table(
     bounds = F.array(*[F.struct(
         F.lit(i).alias("measure"), F.col(f"__bounds_{i}")[0].alias("lo"), F.col(f"__bounds_{i}")[1].alias("hi"))
         for i in range(len(medians))])
-    brackets = cut_lineage(one_row.select(*keys, F.inline(bounds)))
+    brackets = one_row.select(*keys, F.inline(bounds))  # a few numbers per group of a written table
     middles = medians_in_brackets(df, [argument for *_, argument in medians], brackets, keys)
 
     def named(position: int) -> Column:
