@@ -1,9 +1,17 @@
 """Sides of joins that grow with the data are not broadcast, however small Spark takes them for."""
 
+import re
+from pathlib import Path
+
 from pyspark.sql import functions as F
 
+from deltawarden.functions import sqltext as S
+from deltawarden.functions import urns as U
 from deltawarden.operators import consumers as C
 from deltawarden.operators import identity as I
+from deltawarden.operators.cycles import strongly_connected
+from deltawarden.operators.lineage import downstream_lineage
+from deltawarden.session import scratch_root, spread
 
 FIELDS = "array<struct<field_path:string,native_type:string,description:string>>"
 
@@ -74,3 +82,53 @@ def test_consumers_broadcast_no_matches(spark):
     merged = C.merge_consumers(C.classify_consumers(given, changes, matches), matches)
     assert "Broadcast" not in plan(matches) and "Broadcast" not in plan(merged)
     assert [(r["urn"], r["match_count"]) for r in merged.collect()] == [("u", 1)]
+
+
+def test_cycles_broadcast_nothing(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "c")], "src string, dst string")
+    found = strongly_connected(edges)
+    assert "Broadcast" not in plan(found) and {tuple(r) for r in found.collect()} == {("a", "a"), ("a", "b")}
+
+
+def test_walked_edges_are_not_written(spark):
+    edges = spark.createDataFrame([("r", "a"), ("a", "b"), ("b", "r"), ("b", "a")], "src string, dst string")
+    roots = spark.createDataFrame([("r",)], "root string")
+    folder = Path(scratch_root(spark).removeprefix("file:"))
+    written = []
+    for with_hops in (False, True):
+        before = set(folder.iterdir()) if folder.exists() else set()
+        found = downstream_lineage(edges, roots, 3, with_hops=with_hops)
+        written.append(len(set(folder.iterdir()) - before))
+    assert written[0] == written[1]
+    assert {tuple(r) for r in found.hops.collect()} == {("r", "r", "a", 1), ("r", "a", "b", 2), ("r", "b", "a", 3)}
+
+
+def test_costly_work_gets_many_short_tasks(spark, tmp_path):
+    spark.range(30).repartition(9).write.parquet(str(tmp_path / "t"))
+    rows = spark.read.parquet(str(tmp_path / "t"))
+    splits = rows.rdd.getNumPartitions()
+    assert splits > 1 and spread(rows).rdd.getNumPartitions() == 16 * splits
+
+
+def test_field_urns_are_read_without_patterns_for_the_whole_text(spark):
+    pattern = r"\A(?s:urn:li:schemaField:\((urn:li:dataset:\(.*\))),([^\n\r  ]*)\)\z"
+    start = "urn:li:schemaField:(urn:li:dataset:("
+    texts = [None, "", start, start + ")", start + "),)", start + ",)", start + "a,b,PROD),f)", start + "a),f),g%2B)",
+             start + "a),f\n),g)", start + "a),f),g\n)", start + "a),f)x", "urn:li:schemaField:(x),f)", start + "),),)"]
+    urn = F.col("urn")
+    read = spark.createDataFrame([(t,) for t in texts], "urn string").select(
+        urn, U.field_dataset(urn).alias("dataset"), U.field_path(urn).alias("path"))
+    assert "regexp_extract" not in plan(read)
+    whole = re.compile(pattern.replace(r"\z", r"\Z"))
+    for row in read.collect():
+        match = whole.match(row["urn"] or "")
+        assert row["dataset"] == (match[1] if match else None), row
+        assert row["path"] == (match[2].replace("%2B", "+") if match else None), row
+
+
+def test_lists_and_filters_are_read_by_a_plain_dot(spark):
+    text = "-- x\nSELECT a,\n b c \U0001f600 fromage\r\nFROM t WHERE a\n= 1 Group By a"
+    row = spark.createDataFrame([(text,)], "t string").select(
+        S.select_list_text(F.col("t")).alias("list"), S.where_clause(F.col("t")).alias("filter")).first()
+    assert row["list"] == " a,\n b c \U0001f600 fromage\r\n" and row["filter"] == "a = 1"
+    assert r"[\s\S]" not in S.SELECT_LIST + S.WHERE_CLAUSE
