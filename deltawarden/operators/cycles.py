@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from deltawarden.functions.sqltext import model_refs
-from deltawarden.session import cut_lineage
+from deltawarden.session import cut_lineage, grows
 
 
 def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
@@ -21,7 +21,8 @@ def _trimmed(edges: DataFrame) -> tuple[DataFrame, int]:
     while left:
         ways_in = edges.select(F.col("dst").alias("src")).distinct()
         ways_out = edges.select(F.col("src").alias("dst")).distinct()
-        edges = cut_lineage(edges.join(ways_in, "src", "left_semi").join(ways_out, "dst", "left_semi").select("src", "dst"))
+        edges = cut_lineage(edges.join(grows(ways_in), "src", "left_semi").join(
+            grows(ways_out), "dst", "left_semi").select("src", "dst"))
         before, left = left, edges.count()
         if left == before:
             break
@@ -36,9 +37,9 @@ def _firsts(edges: DataFrame) -> DataFrame:
     moved = now
     while not moved.isEmpty():
         # Only what changed last time can change anything now.
-        offered = edges.join(moved, F.col("src") == F.col("vertex")).groupBy(F.col("dst").alias("at")).agg(
+        offered = edges.join(grows(moved), F.col("src") == F.col("vertex")).groupBy(F.col("dst").alias("at")).agg(
             F.min("first").alias("offer"))
-        now = cut_lineage(now.join(offered, F.col("vertex") == F.col("at"), "left").select(
+        now = cut_lineage(now.join(grows(offered), F.col("vertex") == F.col("at"), "left").select(
             "vertex", F.least("first", F.coalesce("offer", "first")).alias("first"),
             (F.col("offer") < F.col("first")).alias("moved")))
         moved = now.where("moved").select("vertex", "first")
@@ -51,8 +52,8 @@ def _led_back(edges: DataFrame, firsts: DataFrame) -> DataFrame:
     reached = cut_lineage(firsts.where("vertex = first"))
     fresh = reached
     while not fresh.isEmpty():
-        step = edges.join(fresh, F.col("dst") == F.col("vertex")).select(F.col("src").alias("vertex"), "first").distinct()
-        fresh = cut_lineage(step.join(reached.select("vertex"), "vertex", "left_anti"))
+        step = edges.join(grows(fresh), F.col("dst") == F.col("vertex")).select(F.col("src").alias("vertex"), "first").distinct()
+        fresh = cut_lineage(step.join(grows(reached.select("vertex")), "vertex", "left_anti"))
         reached = reached.unionByName(fresh)
     return cut_lineage(reached)
 
@@ -67,19 +68,19 @@ def strongly_connected(edges: DataFrame) -> DataFrame:
     left, n = _trimmed(edges.where("src <> dst"))
     while n:
         firsts = _firsts(left)
-        ends = left.join(firsts.withColumnsRenamed({"vertex": "src", "first": "of_src"}), "src").join(
-            firsts.withColumnsRenamed({"vertex": "dst", "first": "of_dst"}), "dst")
+        ends = left.join(grows(firsts.withColumnsRenamed({"vertex": "src", "first": "of_src"})), "src").join(
+            grows(firsts.withColumnsRenamed({"vertex": "dst", "first": "of_dst"})), "dst")
         within = cut_lineage(ends.where("of_src = of_dst").select("src", "dst"))
         members = _led_back(within, firsts)
         whole = members.groupBy(F.col("first").alias("of_first")).agg(F.count("*").alias("n")).where("n > 1")
-        found = found.unionByName(cut_lineage(members.join(whole, F.col("first") == F.col("of_first"), "left_semi").select(
+        found = found.unionByName(cut_lineage(members.join(grows(whole), F.col("first") == F.col("of_first"), "left_semi").select(
             "first", "vertex")))
         done = members.select("vertex")
-        left, n = _trimmed(cut_lineage(within.join(done.withColumnRenamed("vertex", "src"), "src", "left_anti").join(
-            done.withColumnRenamed("vertex", "dst"), "dst", "left_anti").select("src", "dst")))
+        left, n = _trimmed(cut_lineage(within.join(grows(done.withColumnRenamed("vertex", "src")), "src", "left_anti").join(
+            grows(done.withColumnRenamed("vertex", "dst")), "dst", "left_anti").select("src", "dst")))
     # A vertex with an edge to itself may be in a larger component as well: that one counts.
     sizes = found.groupBy("first").agg(F.min("vertex").alias("component"), F.count("*").alias("n"))
-    named = found.join(sizes, "first").groupBy("vertex").agg(F.max_by("component", "n").alias("component"))
+    named = found.join(grows(sizes), "first").groupBy("vertex").agg(F.max_by("component", "n").alias("component"))
     return named.select("component", "vertex")
 
 
