@@ -1,10 +1,11 @@
 """Near copies by true similarity: the Jaccard index of the sets of five-word shingles, 0.8 or more.
 
 A SimHash of 64 bits differs in some 10 bits between texts of that similarity, and at such a radius a vantage-point
-tree would send every fingerprint everywhere. So candidates come from MinHash bands here: a text has 32 keys of five
-least hashes each, and two texts of similarity 0.8 share a key but for 3 cases in a million, fewer above. Among the
-texts of a key, byte-wide signatures sort out what is far from similar (an estimate below 0.65, some 5 standard
-deviations off). What hangs together so far is a group, and in groups the sets themselves are compared, every pair of
+tree would send every fingerprint everywhere. So the tree links fingerprints of the shingle sets at its own radius
+(4 bits), and what it cannot reach comes from MinHash bands: a text has 32 keys of five least hashes each, and two
+texts of similarity 0.8 share a key but for 3 cases in a million, fewer above. Among the texts of a key, byte-wide
+signatures sort out what is far from similar (an estimate below 0.65, some 5 standard deviations off). What hangs
+together so far, by either, is a group, and in groups the sets themselves are compared, every pair of
 them. Large groups are cut into blocks, and each pair of blocks is a task of its own. Links join into components, and
 of each component exactly one row stays.
 
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from deltawarden.llm.common import give_back, whole_text
 from deltawarden.llm.components import components
-from deltawarden.llm.simhash import Forest
+from deltawarden.llm.simhash import Forest, SimHashRules, linked
 from deltawarden.session import cut_lineage
 
 
@@ -85,6 +86,15 @@ def signature(hashes: np.ndarray, rules: CopyRules = CopyRules()) -> tuple[list[
     return keys, marks.astype(np.uint8).tobytes()
 
 
+def set_fingerprint(hashes: np.ndarray) -> int:
+    """SimHash of a set of shingles: a bit is 1 if it is set in over half of the hashes."""
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 65536):
+        part = hashes[start:start + 65536].astype("<u8")
+        ones += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
+
+
 def bucket_links(keys: np.ndarray, marks: np.ndarray, matches: int) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows that join just the rows of one key joined by pairs with so many equal marks."""
     order = np.argsort(keys, kind="stable")
@@ -148,7 +158,7 @@ def similar_links(sets: list[np.ndarray], side: np.ndarray, similarity: float) -
 
 
 def signatures(rows: DataFrame, rules: CopyRules) -> DataFrame:
-    """row_id, doc_id, set_key (128 bits), size, keys, marks of rows with row_id, doc_id and text."""
+    """row_id, doc_id, set_key (128 bits), size, keys, marks, bits (the set's SimHash) of rows with row_id, doc_id and text."""
     from xxhash import xxh3_128_digest
 
     key = rows.schema["doc_id"].dataType.simpleString()
@@ -158,19 +168,32 @@ def signatures(rows: DataFrame, rules: CopyRules) -> DataFrame:
             out = []
             for text in batch.column(2).cast(pa.binary()):
                 found = shingles(text.as_buffer().to_pybytes(), rules)
-                out.append((xxh3_128_digest(found.tobytes()), len(found), *signature(found, rules)))
+                out.append((xxh3_128_digest(found.tobytes()), len(found), *signature(found, rules), set_fingerprint(found)))
             if out:
-                names, sizes, keys, marks = zip(*out, strict=True)
+                names, sizes, keys, marks, bits = zip(*out, strict=True)
                 flat = np.array(keys, np.uint64).view(np.int64).ravel()
                 ends = np.arange(0, len(flat) + 1, rules.bands, dtype=np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(names, pa.binary()), pa.array(sizes, pa.int64()),
-                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(marks, pa.binary())],
-                    ["row_id", "doc_id", "set_key", "size", "keys", "marks"])
+                     pa.ListArray.from_arrays(pa.array(ends), pa.array(flat)), pa.array(marks, pa.binary()),
+                     pa.array(np.array(bits, np.uint64).view(np.int64))],
+                    ["row_id", "doc_id", "set_key", "size", "keys", "marks", "bits"])
         give_back()
 
     return rows.select("row_id", "doc_id", "text").mapInArrow(
-        work, f"row_id bigint, doc_id {key}, set_key binary, size bigint, keys array<bigint>, marks binary")
+        work, f"row_id bigint, doc_id {key}, set_key binary, size bigint, keys array<bigint>, marks binary, bits bigint")
+
+
+def tree_links(heads: DataFrame) -> DataFrame:
+    """a, b: links of vertices whose fingerprints the vantage-point tree links, or are equal; heads: vertex, bits."""
+    named = cut_lineage(heads.groupBy("bits").agg(F.min("vertex").alias("named")))
+    far = linked(named.select("bits"), SimHashRules())
+    ends = far.join(named.select(F.col("bits").alias("a"), F.col("named").alias("of_a")), "a").join(
+        named.select(F.col("bits").alias("b"), F.col("named").alias("of_b")), "b").select(
+        F.col("of_a").alias("a"), F.col("of_b").alias("b"))
+    equal = heads.select("vertex", "bits").join(named, "bits").where("vertex <> named").select(
+        F.col("vertex").alias("a"), F.col("named").alias("b"))
+    return ends.unionByName(equal)
 
 
 def candidates(heads: DataFrame, rules: CopyRules) -> DataFrame:
@@ -246,8 +269,8 @@ def keep_one(docs: DataFrame, rules: CopyRules = CopyRules(), doc_id: str = "doc
     rank = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row_id")
     heads = cut_lineage(prints.groupBy("set_key").agg(
         F.min("row_id").alias("vertex"), F.min(rank).alias("best"), *[F.first(c).alias(c) for c in (
-            "size", "keys", "marks")]))
-    groups = components(candidates(heads, rules))
+            "size", "keys", "marks", "bits")]))
+    groups = components(candidates(heads, rules).unionByName(tree_links(heads)))
     member = components(verified(numbered, heads, groups, rules))
     named = heads.select(F.col("vertex").alias("head"), "best").join(
         member, F.col("head") == F.col("vertex"), "left").select(F.coalesce("component", "head").alias("component"), "best")

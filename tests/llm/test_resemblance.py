@@ -104,3 +104,13 @@ def test_signatures_are_shared_as_often_as_they_should():
         missed += not any(x == y for x, y in zip(keys, other_keys))
         matches.append(sum(x == y for x, y in zip(marks, other_marks)) / len(marks))
     assert not missed and min(matches) > rules.estimate and abs(np.mean(matches) - 0.8) < 0.01
+
+
+def test_the_tree_links_what_its_fingerprints_link(spark):
+    random_hashes = np.random.default_rng(3).integers(0, 1 << 64, 999, np.uint64)
+    brute = sum(1 << i for i in range(64) if 2 * sum((int(h) >> i) & 1 for h in random_hashes) > len(random_hashes))
+    assert resemblance.set_fingerprint(random_hashes) == brute
+    bits = [0, 0b1111, 0b111111111, -1, -1, 1 << 40 | 0b1111 << 20]
+    heads = spark.createDataFrame(list(enumerate(bits)), "vertex bigint, bits bigint")
+    got = {frozenset((r["a"], r["b"])) for r in resemblance.tree_links(heads).collect()}
+    assert got == {frozenset((0, 1)), frozenset((3, 4))}
