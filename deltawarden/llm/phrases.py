@@ -1,6 +1,7 @@
 """Frequent phrases and how well their words stick together, per language.
 
-First pass: every task counts the n-grams of its texts by hash and deals the counts to hash partitions. A partition
+First pass: every task counts the n-grams of its texts by hash and deals the counts to hash partitions, in one shuffle of
+packed keys that is written nowhere else. A partition
 merges them into one Misra-Gries summary: when it has more than its capacity of counters, the count of the first one
 too many is taken off all and those at zero go. As the capacity exceeds a multiple of the partition's mass over
 the threshold, what was taken off stays below the threshold, so an n-gram that is frequent enough survives: its count
@@ -167,6 +168,24 @@ class Summary:
         return self.keys[self.counts + self.taken_off >= threshold]
 
 
+def _planes(numbers: np.ndarray) -> bytes:
+    """32-bit numbers, all their first bytes before all their second ones: shuffle files keep planes of zeros small."""
+    return numbers.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def _from_planes(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(packed, np.uint8).reshape(4, -1).T).view("<u4").ravel()
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Ascending keys as what each adds to the one before."""
+    return _planes(np.diff(keys, prepend=keys.dtype.type(0)))
+
+
+def unpacked_keys(packed: bytes) -> np.ndarray:
+    return np.cumsum(_from_planes(packed), dtype=np.uint32)
+
+
 def _bit(keys: np.ndarray, bits: int) -> np.ndarray:
     """Place of a key among the bits of its partition."""
     return (keys.astype(np.uint64) * np.uint64(bits)) >> np.uint64(32)
@@ -187,24 +206,24 @@ def survivor_bits(texts: DataFrame, rules: PhraseRules) -> np.ndarray:
             order = np.lexsort((keys, part))
             part, keys, counts = part[order], keys[order], counts[order].astype(np.uint32)
             edges = np.flatnonzero(np.diff(part, prepend=-1, append=-1))
+            # The first row of a partition is its mass alone: sorted before all others, it sets the size of the summary.
             out: list[tuple] = []
             for start, stop in zip(edges[:-1], edges[1:], strict=True):
                 own, often = keys[start:stop], counts[start:stop]
                 once = often == 1
-                out.append((int(part[start]), int(often.sum()), own[once].tobytes(), own[~once].tobytes(),
-                            often[~once].tobytes()))
+                out.append((int(part[start]), int(often.sum()), None, None, None))
+                out.append((int(part[start]), 0, packed_keys(own[once]), packed_keys(own[~once]), _planes(often[~once])))
             if out:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(c, kind) for c, kind in zip(zip(*out, strict=True), (
                         pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)],
                     ["part", "mass", "once", "often", "counts"])
 
-    dealt = cut_lineage(texts.select("lang", "text").mapInArrow(
-        count, "part bigint, mass bigint, once binary, often binary, counts binary"))
-    mass = dealt.groupBy(F.col("part").alias("of_part")).agg(F.sum("mass").alias("of_mass"))
+    dealt = texts.select("lang", "text").mapInArrow(
+        count, "part bigint, mass bigint, once binary, often binary, counts binary")
 
     def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        summary, part = None, None
+        summary, part, mass = None, None, 0
         waiting: list[tuple[np.ndarray, np.ndarray]] = []
 
         def add() -> None:
@@ -221,14 +240,18 @@ def survivor_bits(texts: DataFrame, rules: PhraseRules) -> np.ndarray:
                                               ["part", "bits"])
 
         for batch in batches:
-            for number, total, once, often, counts in zip(*batch.columns, strict=True):
+            for number, some, once, often, counts in zip(*batch.columns, strict=True):
                 if number.as_py() != part:
                     if summary:
                         yield row()
-                    part = number.as_py()
-                    summary = Summary(rules.spare * total.as_py() // rules.threshold + 1)
-                ones = np.frombuffer(once.as_py(), np.uint32)
-                more, many = (np.frombuffer(x.as_py(), np.uint32) for x in (often, counts))
+                    summary, part, mass = None, number.as_py(), 0
+                mass += some.as_py()
+                if not once.is_valid:
+                    continue
+                if summary is None:
+                    summary = Summary(rules.spare * mass // rules.threshold + 1)
+                ones, more = unpacked_keys(once.as_py()), unpacked_keys(often.as_py())
+                many = _from_planes(counts.as_py())
                 waiting.append((np.concatenate([ones, more]),
                                 np.concatenate([np.ones(len(ones), np.int64), many.astype(np.int64)])))
                 # Merging as much as a summary holds at a time sorts each count a few times only.
@@ -237,9 +260,8 @@ def survivor_bits(texts: DataFrame, rules: PhraseRules) -> np.ndarray:
         if summary:
             yield row()
 
-    # Dealt out before the join, which then moves one small row per partition.
-    grouped = dealt.repartition(parts, "part").join(mass, F.col("part") == F.col("of_part")).select(
-        "part", "of_mass", "once", "often", "counts").sortWithinPartitions("part")
+    # Shuffled once and written nowhere else: the masses of a partition come before its keys.
+    grouped = dealt.repartition(parts, "part").sortWithinPartitions("part", F.col("once").isNotNull())
     rows = grouped.mapInArrow(merge, "part bigint, bits binary").toArrow()  # ``bits`` bits at most
     out = np.zeros((parts, bits // 8), np.uint8)
     for part, marked in zip(rows["part"].to_pylist(), rows["bits"], strict=True):

@@ -100,3 +100,22 @@ def test_no_frequent_item_is_lost_in_merged_summaries():
         assert all(held.get(k, 0) <= f <= held.get(k, 0) + merged.taken_off for k, f in true.items())
         threshold = len(items) // capacity + 1
         assert {k for k, f in true.items() if f >= threshold} <= set(merged.survivors(threshold).tolist())
+
+
+def test_keys_and_counts_are_packed_and_unpacked():
+    keys = np.array([0, 1, 255, 65536, 2 ** 32 - 1], np.uint32)
+    assert phrases.unpacked_keys(phrases.packed_keys(keys)).tolist() == keys.tolist()
+    assert phrases.unpacked_keys(phrases.packed_keys(keys[:0])).tolist() == []
+    dense = np.arange(0, 4_000_000, 1000, dtype=np.uint32)
+    packed = phrases.packed_keys(dense)
+    assert packed[len(dense) * 2:] == bytes(len(dense) * 2)  # two planes of zeros
+
+
+def test_ngrams_are_shuffled_and_not_written_besides(spark, monkeypatch):
+    def no_table(df):
+        raise AssertionError("the n-grams of the first pass were written to a table")
+
+    monkeypatch.setattr(phrases, "cut_lineage", no_table)
+    texts = spark.createDataFrame([("en", "a b c. " * 12), ("en", "d e"), ("de", "a b")], "lang string, text string")
+    marked = phrases.survivor_bits(texts, phrases.PhraseRules())
+    assert np.unpackbits(marked).sum() == 6  # a, b, c, a b, b c, a b c
