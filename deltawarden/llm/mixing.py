@@ -18,7 +18,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from deltawarden.llm.common import WORD, same, whole_text
+from deltawarden.llm.common import WHITE, WORD, same, whole_text
 from deltawarden.session import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -30,6 +30,15 @@ def unit_hash(doc_id: Column, text: Column, seed: int) -> Column:
     return F.conv(F.substring(F.md5(key), 1, 12), 16, 10).cast("bigint") / F.lit(float(1 << 48))
 
 
+def count_words(text: Column) -> Column:
+    """How many words a text has; no list of them is made, which would take many times the memory of the text.
+
+    Every word becomes one letter together with the white space behind it; what is left before the first word goes.
+    """
+    letters = F.regexp_replace(text, rf"{WORD}[\x20\x09-\x0D]*", "x")
+    return F.length(F.ltrim(letters, F.lit(WHITE))).cast("bigint")
+
+
 def with_sums_before(rows: DataFrame, order: list[Column], values: dict[str, Column]) -> DataFrame:
     """Add for every value its sum over all rows that come earlier in a total order.
 
@@ -108,12 +117,14 @@ def copies(goal: DataFrame, hashed: Column, arcs: int = 64) -> Column:
 
 def sized(docs: DataFrame, seed: int = 42, doc_id: str = "doc_id", source: str = "source",
           text: str = "text") -> DataFrame:
-    """doc_id, source, size in words and the hashed number of every row, written once; texts go no further."""
+    """doc_id, source, size in words and the hashed number of every row, written once; texts go no further.
+
+    The thin rows are dealt out again before they are written: a few full files instead of one for each split of the texts.
+    """
     whole = whole_text(docs, text)
     return cut_lineage(docs.select(
-        docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"),
-        F.regexp_count(whole, F.lit(WORD)).cast("bigint").alias("size"),
-        unit_hash(docs[doc_id], whole, seed).alias("hashed")))
+        docs[doc_id].alias("doc_id"), docs[source].cast("string").alias("source"), count_words(whole).alias("size"),
+        unit_hash(docs[doc_id], whole, seed).alias("hashed")).hint("rebalance"))
 
 
 def plan_mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = 3, seed: int = 42,

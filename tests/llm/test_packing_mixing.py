@@ -254,6 +254,25 @@ def test_mix_of_nothing(spark):
     assert [(p.size, p.copies, p.target) for p in mixing.plan_mix(empty).collect()] == [(0, 0, 0.0)] * 2
 
 
+def test_words_are_counted_without_a_list_of_them(spark):
+    texts = ["", " ", "\t\n ", "a", " a", "a ", "  a  b\t\n\x0bc ", "\u00a0", "a\u00a0b", "\x1ca\x1c b", "\x00 \x00", "x x x",
+             "$1 \\ $0", "\u00e9\U0001f600 \U0001f600", "\n\r\x0c" * 1000 + "w", "w" + " " * 50_000, " " * 50_000]
+    frame = spark.createDataFrame([(t,) for t in texts], "text string")
+    found = frame.select("text", mixing.count_words(F.col("text")).alias("n"))
+    assert found.schema["n"].dataType.simpleString() == "bigint"
+    assert {r.text: r.n for r in found.collect()} == {t: len(t.encode().split()) for t in texts}
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "regexp_replace" in plan and "extract" not in plan
+
+
+def test_sizes_are_written_to_few_files(spark):
+    docs = [(i, "word " * (i % 9), "en", f"s{i % 3}", 0) for i in range(200)]
+    frame = spark.createDataFrame(docs, SCHEMA).repartition(16)
+    thin = mixing.sized(frame)
+    assert len(thin.inputFiles()) <= 4
+    assert sorted((r.doc_id, r.source, r.size) for r in thin.collect()) == [(i, s, i % 9) for i, _, _, s, _ in docs]
+
+
 def test_targets_hold_where_a_third_of_the_ids_is_null(spark):
     r = random.Random(12)
     rows = [(None if r.random() < 1 / 3 else i, " ".join(["w"] * r.randint(1, 200)) + f" {i}", "en",
